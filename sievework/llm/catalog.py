@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding"]
+MODULES = ["sharding", "bpe_codec", "toxicity"]
 
 
 def queries() -> dict:

@@ -54,7 +54,7 @@ def kd_shards(points: DataFrame, target_bytes: float | None = None, shards: int
     for i, (low, high) in enumerate(zip(ends[::2], ends[1::2], strict=True)):
         scaled = scaled.withColumn(f"d{i}", ((F.col(f"d{i}") - low) / (high - low or 1.0) * (2**DIM_BITS - 1)).cast("long"))
     tie = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(2**TIE_BITS))
-    tree = written(scaled.select("doc_id", "size", "text_crc32", *[f"d{i}" for i in range(dims)], tie.alias("tie")), "points").withColumn("node", F.lit(0))
+    tree = written(scaled.select("doc_id", "size", "text_crc32", *[f"d{i}" for i in range(dims)], tie.alias("tie"), F.lit(0).alias("node")), "points")
     leaves = [(0, shards)]  # of each node: its first shard and how many
     while any(n > 1 for _, n in leaves):
         tree, leaves = _split(tree, leaves, dims)
