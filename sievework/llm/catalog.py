@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "bpe_codec", "toxicity"]
+MODULES = ["sharding", "bpe_codec", "toxicity", "quality"]
 
 
 def queries() -> dict:
