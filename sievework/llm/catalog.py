@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "bpe_codec", "toxicity", "quality"]
+MODULES = ["sharding", "bpe_codec", "toxicity", "quality", "fingerprints"]
 
 
 def queries() -> dict:
