@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "bpe_codec", "toxicity", "quality", "fingerprints", "packing"]
+MODULES = ["sharding", "bpe_codec", "toxicity", "quality", "fingerprints", "packing", "html_text"]
 
 
 def queries() -> dict:
