@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "bpe_codec", "toxicity", "quality", "fingerprints", "packing", "html_text", "passages", "jaccard_join"]
+MODULES = ["sharding", "bpe_codec", "toxicity", "quality", "fingerprints", "packing", "html_text", "passages", "jaccard_join", "fuzzy_lines"]
 
 
 def queries() -> dict:

@@ -174,7 +174,8 @@ def edited_fingerprints(docs: DataFrame, part_bytes: int = 16_000_000) -> DataFr
 
     kind = "doc_id long"
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, f"part int, tail boolean, {kind}, text string")
-    ranged = dealt.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "tail", "doc_id", "text")
+    # the ranges are even by their making; by a hash, several would meet in one task
+    ranged = dealt.repartitionById(max(1, len(firsts)), F.col("part")).sortWithinPartitions("part", "tail", "doc_id", "text")
     return ranged.mapInArrow(chain, f"{kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.llm.bloom import bloom, known, mix
 from sievework.llm.common import table, utf8_batches, written
 from sievework.llm.graph import components
 
@@ -35,7 +36,6 @@ K, PERCENT = 4, 85
 SMALL = 48
 LEVELS = 3
 BATCH = 1_000_000
-FILTER_BITS = 27
 #: The order of shingles puts these last: seen in a batch by so many texts, so often in all, at most so many.
 HOT_IN_BATCH, HOT_IN_ALL, HOT_MOST = 3, 60, 200_000
 
@@ -43,12 +43,6 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(54321).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return h ^ (h >> np.uint64(32))
-
-
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text and hash of each word, A-Z lower-cased."""
     n = len(data)
@@ -64,7 +58,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     power = np.multiply.accumulate(np.full(n + 1, _MULT, np.uint64))
     back = np.multiply.accumulate(np.full(n + 1, pow(int(_MULT), -1, 2**64), np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[folded] * power[:n], dtype=np.uint64)])
-    h = _mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
+    h = mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
     return np.searchsorted(offsets, first, side="right") - 1, h
 
 
@@ -92,7 +86,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndar
         owners.append(few)
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key, owner = _mix(np.concatenate(keys)).view(np.int64), np.concatenate(owners)
+    key, owner = mix(np.concatenate(keys)).view(np.int64), np.concatenate(owners)
     order = np.lexsort((key, owner))
     key, owner = key[order], owner[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
@@ -131,7 +125,7 @@ def _sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             owner, key = shingles(data, offsets)
             n = np.bincount(owner, minlength=part.num_rows)
             sums = np.zeros(part.num_rows, np.uint64)
-            np.add.at(sums, owner, _mix(key.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))
+            np.add.at(sums, owner, mix(key.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))
             if len(last):
                 at = np.minimum(np.searchsorted(last, key), len(last) - 1)
                 order = np.lexsort((key, last[at] == key, owner))
@@ -144,43 +138,15 @@ def _sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_hash long, prefix array<long>")
 
 
-def _slots(keys: np.ndarray) -> list[np.ndarray]:
-    h = _mix(keys.view(np.uint64))
-    return [(h & np.uint64(2**FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-
-
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of a long column, 16 MB at any size; what it lets through besides is joined away."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = np.unique(np.concatenate(_slots(batch.column(0).to_numpy())))
-            word, first = np.unique(slots >> 6, return_index=True)
-            bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (slots & 63).astype(np.uint64)), first) if len(slots) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-    got = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(2**FILTER_BITS // 64, np.int64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return out
-
-
-def _known(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    hit = np.ones(len(keys), bool)
-    for slot in _slots(keys):
-        hit &= (bits[slot >> 6] >> (slot & 63)) & 1 == 1
-    return hit
-
-
 def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, distance) of each pair of doc_ids, on whole sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(ids))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            asked = batch.filter(pa.array(_known(bits, batch.column(0).to_numpy())))
+            asked = batch.filter(pa.array(known(bits, batch.column(0).to_numpy())))
             for part, data, offsets in utf8_batches(iter([asked]), "text", BATCH):
                 owner, key = shingles(data, offsets)
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(key, np.bincount(owner, minlength=part.num_rows))], ["id", "set"])
@@ -210,7 +176,7 @@ def links(docs: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
     """All links (a, b) that components need: classes in one region that are linked to one pivot need no more."""
     region = classes.where("n > 1").select("rep", "n", F.slice("prefix", F.lit(1), (F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1).cast("int")).alias("prefix"))
     several = written(region.select(F.explode("prefix").alias("region"), "rep").groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "regions")
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(several.select("region")))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(several.select("region")))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -218,7 +184,7 @@ def links(docs: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
             lists = batch.column(2)
             key = lists.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-            hit = _known(bits, key)
+            hit = known(bits, key)
             rows = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays([pa.array(key[hit]), batch.column(0).take(rows), batch.column(1).take(rows)], ["region", "rep", "n"])
 
