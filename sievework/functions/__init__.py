@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: text hygiene, contract predicates, time splits and buckets."""

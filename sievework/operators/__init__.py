@@ -1 +1 @@
-"""See the package README."""
+"""DataFrame operators: contracts, dedup, graph pruning, features, models, ranks, metrics, statistics, operations."""

@@ -1 +1 @@
-"""See the package README."""
+"""Scans, ledgers and versioned tables."""
