@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("layers", "evaluation")
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in import_module(f"sievework.plans.{m}").Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in MODULES for k, s in import_module(f"sievework.plans.{m}").SQL.items()}
