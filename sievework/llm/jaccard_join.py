@@ -11,8 +11,10 @@ Distance is 1 - Jaccard, a metric; documents link within the radius r = 0.15.
 3. In a region the least open member is the pivot document. Distances to it are exact. Members within r are
    linked to it and so in one component; they stay only if the triangle inequality lets an open member be
    within r of them. Open members and these form the next region.
-4. A region of at most `SMALL` members ends with the pairs that sizes and triangle windows leave; a larger one is
-   parted anew by a second shingle that its links must share (prefix one longer), then by a third.
+4. Regions with the same members are taken once, and those whose members are in one component are done. A region
+   of at most `SMALL` members ends with the pairs that sizes, triangle windows and components leave. A larger one
+   gets another pivot if the last one linked some of it, else it is parted anew by a second shingle that its links
+   must share (prefix one longer), then by a third.
 
 Links are verified on whole sets; components are those of the links. Nulls and texts without words have the empty
 set and link with nothing; a text of fewer than `k` words is one shingle. A row without doc_id stands alone. An
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.bloom import bloom, known, mix
 from sievework.llm.common import table, utf8_batches, written
-from sievework.llm.graph import components
+from sievework.llm.regions import once, settle
 
 K, PERCENT = 4, 85
 SMALL = 48
@@ -168,15 +170,14 @@ def _close(n: Column, m: Column) -> Column:
 RADIUS = 1 - PERCENT / 100 + 1e-9
 
 
-def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+def roots(docs: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
+    """(node, root) of the classes that links connect.
 
-
-def links(docs: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
-    """All links (a, b) that components need: classes in one region that are linked to one pivot need no more."""
+    Only pairs of classes that no links found before connect are verified.
+    """
     region = classes.where("n > 1").select("rep", "n", F.slice("prefix", F.lit(1), (F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1).cast("int")).alias("prefix"))
-    several = written(region.select(F.explode("prefix").alias("region"), "rep").groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "regions")
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(several.select("region")))
+    several = written(once(region.select(F.explode("prefix").alias("region"), "rep")).select("region"), "regions")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(several))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -186,43 +187,20 @@ def links(docs: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
             hit = known(bits, key)
             rows = pa.array(row[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), batch.column(0).take(rows), batch.column(1).take(rows)], ["region", "rep", "n"])
-
-    rows = written(region.mapInArrow(explode, "region long, rep long, n long").join(several, "region").withColumn("open", F.lit(True)).withColumn("distance", F.lit(None).cast("double")).drop("members"), "members")
-    found = None
-    level = 1
-    while True:
-        # one pivot document for each region: its least open member
-        pivots = rows.groupBy("region").agg(F.min(F.when(F.col("open"), F.struct("rep", "n"))).alias("p")).where("p is not null").select("region", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        star = rows.drop("distance").join(pivots, "region").where("rep <> pivot")
-        near = written(_verify(docs, written(_pairs(star.where(_close(F.col("n"), F.col("pivot_n"))), "pivot", "rep"), "pairs")), "near")
-        found = near.where("linked").select("a", "b") if found is None else found.unionByName(near.where("linked").select("a", "b"))
-        # sets too different in size to link are at least so far from the pivot
-        least = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-        star = star.withColumns({"a": F.least("pivot", "rep"), "b": F.greatest("pivot", "rep")}).join(near, ["a", "b"], "left")
-        star = star.withColumns({"exact": F.col("distance").isNotNull(), "distance": F.coalesce("distance", least), "open": F.col("open") & ~F.coalesce("linked", F.lit(False))})
-        star = written(star.select("region", "rep", "n", "open", "distance", "exact"), "star")
-        edge = star.where("open").groupBy("region").agg(F.min("distance").alias("nearest"))
-        rest = star.join(edge, "region").where(F.col("open") | (F.col("distance") >= F.col("nearest") - RADIUS)).drop("nearest")
-        sizes = rest.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        rest = written(rest.join(sizes, "region"), "rest")
-        few = rest.where(F.col("members") <= small)
-        window = ~(F.col("exact") & F.col("exact2")) | (F.abs(F.col("distance") - F.col("distance2")) <= RADIUS)
-        other = few.select("region", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("distance").alias("distance2"), F.col("exact").alias("exact2"), F.col("open").alias("open2"))
-        ends = few.where("open").join(other, "region").where((F.col("rep") < F.col("rep2")) | (~F.col("open2") & (F.col("rep") != F.col("rep2")))).where(_close(F.col("n"), F.col("n2")) & window)
-        ends = written(_pairs(ends, "rep", "rep2"), "pairs")
-        if not ends.isEmpty():
-            found = found.unionByName(_verify(docs, ends).where("linked").select("a", "b"))
-        many = rest.where(F.col("members") > small).select("region", "rep", "n", "open", "distance")
-        if many.isEmpty():
-            return written(found.distinct(), "links")
-        if level < LEVELS:
-            level += 1
-            length = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + level
-            longer = classes.select("rep", F.slice("prefix", F.lit(1), F.least(F.size("prefix"), length.cast("int"))).alias("prefix"))
-            deeper = many.join(longer, "rep").select(F.col("region").alias("from"), "rep", "n", "open", "distance", F.explode("prefix").alias("shingle"))
-            many = deeper.select(F.xxhash64("from", "shingle").alias("region"), "rep", "n", "open", "distance")
-        rows = written(many, "members")
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), batch.column(0).take(rows), batch.column(1).take(rows)], ["region", "rep", "attribute"])
+
+    rows = region.mapInArrow(explode, "region long, rep long, attribute long").join(several, "region")
+
+    def deepen(many: DataFrame, level: int) -> DataFrame | None:
+        """A second shingle (a third) that links in a region must share parts it anew."""
+        if level >= LEVELS:
+            return None
+        length = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + level + 1
+        longer = classes.select("rep", F.slice("prefix", F.lit(1), F.least(F.size("prefix"), length.cast("int"))).alias("prefix"))
+        deeper = many.join(longer, "rep").select(F.col("region").alias("from"), "rep", "attribute", "open", F.explode("prefix").alias("shingle"))
+        return deeper.select(F.xxhash64("from", "shingle").alias("region"), "rep", "attribute", "open")
+
+    return settle(rows, _close, lambda pairs: _verify(docs, pairs), lambda n, m: 1 - F.least(n, m) / F.greatest(n, m), RADIUS, small, deepen)
 
 
 def join(docs: DataFrame, small: int = SMALL) -> DataFrame:
@@ -230,8 +208,8 @@ def join(docs: DataFrame, small: int = SMALL) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sets = written(_sets(docs, _hot(docs)), "shingles")
     classes = written(sets.where("n > 0 and doc_id is not null").groupBy("set_hash", "n").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix")), "classes")
-    roots = components(links(docs, classes, small))
-    named = classes.select("set_hash", "n", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", "n", F.coalesce("root", "rep").alias("component"))
+    found = roots(docs, classes, small)
+    named = classes.select("set_hash", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", "n", F.coalesce("root", "rep").alias("component"))
     return sets.select("doc_id", "n", "set_hash").join(named, ["set_hash", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
