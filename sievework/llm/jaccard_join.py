@@ -156,6 +156,7 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     sets = asked.mapInArrow(run, "id long, set array<long>").join(ids, "id", "left_semi")
     sets = written(sets, "sets")
+    shared.destroy()
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     shared_ = F.size(F.array_intersect("x", "y"))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from sievework.llm.bloom import bloom, known, mix
 from sievework.llm.common import table, utf8_batches, written
 
 LEAST, GRAM = 200, 32
@@ -39,18 +40,11 @@ HOT = 20_000
 SEGMENT = 8_000_000
 BATCH = 1_000_000
 BWT_BYTES = 2_000_000
-FILTER_BITS = 27
 
 _MULT = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(12345).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return h ^ (h >> np.uint64(32))
-
-
 def _sum_hash(t: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of t[start:end] for each pair, the same wherever the bytes stand."""
     n = len(t)
@@ -79,7 +73,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     while s < GRAM:
         h = h[:-s] * np.uint64(pow(_MULT, s, 2**64)) + h[s:]
         s *= 2
-    h = _mix(h)
+    h = mix(h)
     # the least gram of each window, the leftmost of equals: 40 bits of its hash, then its place
     key = (h & np.uint64(2**64 - 2**24)) | np.arange(len(h), dtype=np.uint64)
     k = np.concatenate([key, np.full(-len(key) % SPAN, 2**64 - 1, np.uint64)]).reshape(-1, SPAN)
@@ -95,7 +89,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     first = np.r_[0, np.flatnonzero((at[1:] != at[:-1]) | (text[1:] != text[:-1])) + 1]
     last = np.r_[first[1:], len(window)] - 1
     low, high, at, text = window[first], window[last], at[first], text[first]
-    context = _mix(_sum_hash(t, low, high + LEAST) + _mix((high - low).astype(np.uint64) * np.uint64(1000) + (at - low).astype(np.uint64)))
+    context = mix(_sum_hash(t, low, high + LEAST) + mix((high - low).astype(np.uint64) * np.uint64(1000) + (at - low).astype(np.uint64)))
     return {"text": text, "start": low - offsets[text], "windows": high - low + 1, "anchor": h[at].view(np.int64), "context": context.view(np.int64)}
 
 
@@ -179,25 +173,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(r["start"]), pa.array(r["windows"], pa.int32()), pa.array(r["anchor"]), pa.array(r["context"])], ["doc_id", "tie", "start", "windows", "anchor", "context"])
 
 
-def _slots(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-    h = _mix(doc.view(np.uint64) * np.uint64(_MULT) + _mix(tie.view(np.uint64) + _mix(start.astype(np.uint64))))
-    return [(h & np.uint64(2**FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-
-
-def _filter(rows: DataFrame) -> np.ndarray:
-    """A Bloom filter of (doc_id, tie, start), 16 MB at any size: what it lets through besides costs time only."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = np.unique(np.concatenate(_slots(*[batch.column(i).to_numpy() for i in range(3)])))
-            word, first = np.unique(slots >> 6, return_index=True)
-            bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (slots & 63).astype(np.uint64)), first) if len(slots) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-    got = rows.select("doc_id", "tie", "start").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(2**FILTER_BITS // 64, np.int64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return out
+def _place(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix(doc.view(np.uint64) * np.uint64(_MULT) + mix(tie.view(np.uint64) + mix(start.astype(np.uint64)))).view(np.int64)
 
 
 def _contexts(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -205,14 +182,11 @@ def _contexts(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
     shared = keyed.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        bits = shared.value
         for part, data, offsets in utf8_batches(batches, "text", BATCH):
             r = runs(data, offsets)
             doc, tie = (part.column(i).to_numpy()[r["text"]] for i in (0, 1))
-            hit = np.ones(len(doc), bool)
-            for slot in _slots(doc, tie, r["start"]):
-                hit &= (known[slot >> 6] >> (slot & 63)) & 1 == 1
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero(known(bits, _place(doc, tie, r["start"])))
             low = offsets[r["text"][at]] + r["start"][at]
             texts = [data[a : a + w + LEAST - 1].tobytes() for a, w in zip(low, r["windows"][at], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(r["anchor"][at]), pa.array(r["context"][at]), pa.array(texts, pa.binary())], ["anchor", "context", "bytes"])
@@ -252,7 +226,7 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for anchor, context, data in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
             first = np.arange(len(data) - LEAST + 1)
-            h = _mix(_sum_hash(_BYTES[np.frombuffer(data, np.uint8)], first, first + LEAST))
+            h = mix(_sum_hash(_BYTES[np.frombuffer(data, np.uint8)], first, first + LEAST))
             yield pa.RecordBatch.from_arrays([pa.array([anchor] * len(first), pa.int64()), pa.array([context] * len(first), pa.int64()), pa.array(first.astype(np.int32)), pa.array(h.view(np.int64))], ["anchor", "context", "first", "hash"])
 
 
@@ -264,7 +238,7 @@ def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     again = written(found.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"), "again")
     mixed = again.where(~F.col("alike"))
     classes = written(mixed.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows"), F.min(F.struct("doc_id", "tie", "start")).alias("one")).select("anchor", "context", "n", "windows", "one.*"), "classes")
-    contexts = _contexts(keyed.where(F.octet_length("text") >= LEAST), _filter(classes))
+    contexts = _contexts(keyed.where(F.octet_length("text") >= LEAST), bloom(classes.select("doc_id", "tie", "start"), lambda batch: _place(*[batch.column(i).to_numpy() for i in range(3)])))
     many = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor")
     whole = classes.where("n > 1").select("anchor", "context", F.lit(0).alias("first"), (F.col("windows") - 1).alias("last"))
     ranges = whole
