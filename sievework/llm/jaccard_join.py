@@ -16,7 +16,8 @@ Distance is 1 - Jaccard, a metric; documents link within the radius r = 0.15.
    gets another pivot if the last one linked some of it, else it is parted anew by a second shingle that its links
    must share (prefix one longer), then by a third.
 
-Links are verified on whole sets; components are those of the links. Nulls and texts without words have the empty
+Links are verified on whole sets, after a bound that compares counts of shingles by hash cell has cleared pairs
+that can't link; components are those of the links. Nulls and texts without words have the empty
 set and link with nothing; a text of fewer than `k` words is one shingle. A row without doc_id stands alone. An
 empty table gives an empty result.
 """
@@ -38,6 +39,7 @@ K, PERCENT = 4, 85
 SMALL = 48
 LEVELS = 3
 BATCH = 1_000_000
+CELLS, MOST_CELL = 256, 65_535
 #: The order of shingles puts these last: seen in a batch by so many texts, so often in all, at most so many.
 HOT_IN_BATCH, HOT_IN_ALL, HOT_MOST = 3, 60, 200_000
 
@@ -118,7 +120,10 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def _sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, set_hash and the prefix (LEVELS - 1 longer than the first regions need) of each text."""
+    """doc_id, n, set_hash, the prefix (LEVELS - 1 longer than the first regions need) and cells of each text.
+
+    Cells count the shingles by the first 8 bits of their hash.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +140,38 @@ def _sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             length = np.minimum(n, n - _need(n) + LEVELS)
             rank = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
             prefix = key[rank < np.repeat(length, n)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sums.view(np.int64)), _lists(prefix, length)], ["doc_id", "n", "set_hash", "prefix"])
+            cells = np.bincount(owner * CELLS + (key.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=part.num_rows * CELLS)
+            counts = np.minimum(cells, MOST_CELL).astype("<u2").reshape(-1, CELLS)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sums.view(np.int64)), _lists(prefix, length), pa.array([c.tobytes() for c in counts], pa.binary())], ["doc_id", "n", "set_hash", "prefix", "cells"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_hash long, prefix array<long>, cells binary")
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lower bounds of distances: two sets share no more than the lesser count of each cell, summed."""
+    shared = np.minimum(x, y).sum(1)
+    full = (x == MOST_CELL).any(1) | (y == MOST_CELL).any(1)
+    return np.where(full, 0.0, 1 - shared / (x.sum(1) + y.sum(1) - shared))
+
+
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, distance, linked, exact) of pairs of doc_ids: whole sets where the cells' bound leaves a link possible."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 4096):
+                part = batch.slice(s, 4096)
+                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_apart(x, y))], ["a", "b", "distance"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_hash long, prefix array<long>")
+    cells = classes.select(F.col("rep").alias("a"), F.col("cells").alias("x"))
+    met = pairs.join(cells, "a").join(cells.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    met = written(met.mapInArrow(bounded, "a long, b long, distance double"), "bounds")
+    far = met.where(F.col("distance") > RADIUS).select("a", "b", "distance", F.lit(False).alias("linked"), F.lit(False).alias("exact"))
+    return far.unionByName(_exact(docs, met.where(F.col("distance") <= RADIUS).select("a", "b")))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, distance) of each pair of doc_ids, on whole sets."""
+def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     shared = docs.sparkSession.sparkContext.broadcast(bloom(ids))
 
@@ -154,13 +184,13 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(key, np.bincount(owner, minlength=part.num_rows))], ["id", "set"])
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    sets = asked.mapInArrow(run, "id long, set array<long>").join(ids, "id", "left_semi")
-    sets = written(sets, "sets")
+    sets = written(asked.mapInArrow(run, "id long, set array<long>").join(ids, "id", "left_semi"), "sets")
     shared.destroy()
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    shared_ = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (1 - shared_ / (F.size("x") + F.size("y") - shared_)).alias("distance"), (100 * shared_ >= PERCENT * (F.size("x") + F.size("y") - shared_)).alias("linked"))
+    same = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - same
+    return both.select("a", "b", (1 - same / union).alias("distance"), (100 * same >= PERCENT * union).alias("linked"), F.lit(True).alias("exact"))
 
 
 def _close(n: Column, m: Column) -> Column:
@@ -201,14 +231,14 @@ def roots(docs: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
         deeper = many.join(longer, "rep").select(F.col("region").alias("from"), "rep", "attribute", "open", F.explode("prefix").alias("shingle"))
         return deeper.select(F.xxhash64("from", "shingle").alias("region"), "rep", "attribute", "open")
 
-    return settle(rows, _close, lambda pairs: _verify(docs, pairs), lambda n, m: 1 - F.least(n, m) / F.greatest(n, m), RADIUS, small, deepen)
+    return settle(rows, _close, lambda pairs: _verify(docs, classes, pairs), lambda n, m: 1 - F.least(n, m) / F.greatest(n, m), RADIUS, small, deepen)
 
 
 def join(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
     docs = docs.select("doc_id", "text")
     sets = written(_sets(docs, _hot(docs)), "shingles")
-    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("set_hash", "n").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix")), "classes")
+    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("set_hash", "n").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("cells").alias("cells")), "classes")
     found = roots(docs, classes, small)
     named = classes.select("set_hash", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", "n", F.coalesce("root", "rep").alias("component"))
     return sets.select("doc_id", "n", "set_hash").join(named, ["set_hash", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -37,8 +37,8 @@ def settle(
 ) -> DataFrame:
     """(node, root) of the members of regions that links connect. rows: (region, rep, attribute).
 
-    verify: (a, b) to (a, b, distance, linked), the distance being exact; bound: a lower bound of the distance from
-    two attributes; deepen: large regions whose pivot drew nobody, parted anew. In each round the least open member
+    verify: (a, b) to (a, b, distance, linked, exact), distances that aren't exact being lower bounds; bound: such a
+    bound from two attributes; deepen: large regions whose pivot drew nobody, parted anew. In each round the least open member
     of a region is its pivot; whoever is not linked to it is open. Members that no open one can be near stay out,
     and so do regions within one component. Only pairs between components are ever verified.
     """
@@ -52,7 +52,7 @@ def settle(
         new = near.where("linked").select("a", "b")
         tied = components(new if tied is None else tied.unionByName(new)).toDF("a", "b")
         star = star.withColumns({"a": F.least("pivot", "rep"), "b": F.greatest("pivot", "rep")}).join(near, ["a", "b"], "left")
-        star = star.withColumns({"exact": F.col("distance").isNotNull(), "distance": F.coalesce("distance", bound(F.col("attribute"), F.col("pivot_attribute"))), "open": ~F.coalesce("linked", F.lit(False))})
+        star = star.withColumns({"exact": F.coalesce("exact", F.lit(False)), "distance": F.coalesce("distance", bound(F.col("attribute"), F.col("pivot_attribute"))), "open": ~F.coalesce("linked", F.lit(False))})
         star = star.join(tied.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left")
         star = written(star.select("region", "rep", "attribute", "open", "distance", "exact", F.coalesce("root", "rep").alias("root")), "star")
         edge = star.groupBy("region").agg(F.min(F.when(F.col("open"), F.col("distance"))).alias("nearest"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.avg((~F.col("open")).cast("double")).alias("drawn")).where("nearest is not null and r1 <> r2").drop("r1", "r2")
