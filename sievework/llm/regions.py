@@ -13,7 +13,7 @@ from sievework.llm.graph import components
 #: A pivot that links this share of its region's members is followed by another one.
 DRAWN = 0.05
 #: After so many rounds a region ends with the pairs of its components' members, whatever their number.
-ROUNDS = 6
+ROUNDS = 4
 
 
 def once(members: DataFrame) -> DataFrame:
