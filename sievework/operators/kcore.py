@@ -13,7 +13,7 @@ def prune_once(edges: DataFrame, k: int, user: str = "user_id", item: str = "ite
     """Edges whose user and item both have k edges in this very snapshot."""
     users = edges.groupBy(user).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(user)
     items = edges.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(item)
-    return edges.join(users, user, "left_semi").join(items, item, "left_semi")
+    return edges.join(users, user, "left_semi").join(items, item, "left_semi").select(*edges.columns)
 
 
 def kcore(edges: DataFrame, k: int, most: int = 50, user: str = "user_id", item: str = "item_id") -> tuple[DataFrame, list[dict]]:

@@ -49,7 +49,7 @@ def fragment_month(catalog: Catalog, table: str, month: str) -> dict:
     """The month as one file for each day."""
     df = catalog.read(table)
     days = F.when(F.col("month") == month, F.dayofmonth("ts")).otherwise(0)
-    return catalog.publish(df.repartition("month", days), table, "fragment", ("month",))
+    return catalog.publish(df.repartition(31, "month", days), table, "fragment", ("month",))
 
 
 def compact(catalog: Catalog, table: str, target_bytes: int = 128 << 20) -> dict | None:
