@@ -12,9 +12,8 @@ Distance is 1 - Jaccard, a metric; documents link within the radius r = 0.15.
    linked to it and so in one component; they stay only if the triangle inequality lets an open member be
    within r of them. Open members and these form the next region.
 4. Regions with the same members are taken once, and those whose members are in one component are done. A region
-   of at most `SMALL` members ends with the pairs that sizes, triangle windows and components leave. A larger one
-   gets another pivot if the last one linked some of it, else it is parted anew by a second shingle that its links
-   must share (prefix one longer), then by a third.
+   ends with the pairs that sizes, triangle windows and components leave when these are at most `SMALL` for each
+   member, or after some rounds; until then it gets another pivot (module `regions`).
 
 Links are verified on whole sets, after a bound that compares counts of shingles by hash cell has cleared pairs
 that can't link; components are those of the links. Nulls and texts without words have the empty
@@ -37,7 +36,6 @@ from sievework.llm.regions import once, settle
 
 K, PERCENT = 4, 85
 SMALL = 48
-LEVELS = 3
 BATCH = 1_000_000
 CELLS, MOST_CELL = 256, 65_535
 #: The order of shingles puts these last: seen in a batch by so many texts, so often in all, at most so many.
@@ -120,7 +118,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def _sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, set_hash, the prefix (LEVELS - 1 longer than the first regions need) and cells of each text.
+    """doc_id, n, set_hash, the prefix and cells of each text.
 
     Cells count the shingles by the first 8 bits of their hash.
     """
@@ -137,7 +135,7 @@ def _sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 at = np.minimum(np.searchsorted(last, key), len(last) - 1)
                 order = np.lexsort((key, last[at] == key, owner))
                 key = key[order]
-            length = np.minimum(n, n - _need(n) + LEVELS)
+            length = np.minimum(n, n - _need(n) + 1)
             rank = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
             prefix = key[rank < np.repeat(length, n)]
             cells = np.bincount(owner * CELLS + (key.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=part.num_rows * CELLS)
@@ -206,7 +204,7 @@ def roots(docs: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
 
     Only pairs of classes that no links found before connect are verified.
     """
-    region = classes.where("n > 1").select("rep", "n", F.slice("prefix", F.lit(1), (F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1).cast("int")).alias("prefix"))
+    region = classes.where("n > 1").select("rep", "n", "prefix")
     several = written(once(region.select(F.explode("prefix").alias("region"), "rep")).select("region"), "regions")
     shared = docs.sparkSession.sparkContext.broadcast(bloom(several))
 
@@ -222,16 +220,7 @@ def roots(docs: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
 
     rows = region.mapInArrow(explode, "region long, rep long, attribute long").join(several, "region")
 
-    def deepen(many: DataFrame, level: int) -> DataFrame | None:
-        """A second shingle (a third) that links in a region must share parts it anew."""
-        if level >= LEVELS:
-            return None
-        length = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + level + 1
-        longer = classes.select("rep", F.slice("prefix", F.lit(1), F.least(F.size("prefix"), length.cast("int"))).alias("prefix"))
-        deeper = many.join(longer, "rep").select(F.col("region").alias("from"), "rep", "attribute", "open", F.explode("prefix").alias("shingle"))
-        return deeper.select(F.xxhash64("from", "shingle").alias("region"), "rep", "attribute", "open")
-
-    return settle(rows, _close, lambda pairs: _verify(docs, classes, pairs), lambda n, m: 1 - F.least(n, m) / F.greatest(n, m), RADIUS, small, deepen)
+    return settle(rows, _close, lambda pairs: _verify(docs, classes, pairs), lambda n, m: 1 - F.least(n, m) / F.greatest(n, m), RADIUS, small)
 
 
 def join(docs: DataFrame, small: int = SMALL) -> DataFrame:

@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from sievework.llm.common import written
 from sievework.llm.graph import components
 
-#: A pivot that links this share of its region's members is followed by another one.
-DRAWN = 0.05
 #: After so many rounds a region ends with the pairs of its components' members, whatever their number.
-ROUNDS = 4
+ROUNDS = 6
 
 
 def once(members: DataFrame) -> DataFrame:
@@ -33,17 +31,16 @@ def settle(
     bound: Callable[[Column, Column], Column],
     radius: float,
     small: int,
-    deepen: Callable[[DataFrame, int], DataFrame | None],
 ) -> DataFrame:
     """(node, root) of the members of regions that links connect. rows: (region, rep, attribute).
 
     verify: (a, b) to (a, b, distance, linked, exact), distances that aren't exact being lower bounds; bound: such a
-    bound from two attributes; deepen: large regions whose pivot drew nobody, parted anew. In each round the least open member
+    bound from two attributes. In each round the least open member
     of a region is its pivot; whoever is not linked to it is open. Members that no open one can be near stay out,
     and so do regions within one component. Only pairs between components are ever verified.
     """
     rows = written(rows.withColumn("open", F.lit(True)), "members")
-    tied, level, rounds = None, 1, 0
+    tied, rounds = None, 0
     while True:
         rounds += 1
         pivots = rows.groupBy("region").agg(F.min(F.when(F.col("open"), F.struct("rep", "attribute"))).alias("p")).where("p is not null").select("region", F.col("p.rep").alias("pivot"), F.col("p.attribute").alias("pivot_attribute"))
@@ -55,7 +52,7 @@ def settle(
         star = star.withColumns({"exact": F.coalesce("exact", F.lit(False)), "distance": F.coalesce("distance", bound(F.col("attribute"), F.col("pivot_attribute"))), "open": ~F.coalesce("linked", F.lit(False))})
         star = star.join(tied.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left")
         star = written(star.select("region", "rep", "attribute", "open", "distance", "exact", F.coalesce("root", "rep").alias("root")), "star")
-        edge = star.groupBy("region").agg(F.min(F.when(F.col("open"), F.col("distance"))).alias("nearest"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.avg((~F.col("open")).cast("double")).alias("drawn")).where("nearest is not null and r1 <> r2").drop("r1", "r2")
+        edge = star.groupBy("region").agg(F.min(F.when(F.col("open"), F.col("distance"))).alias("nearest"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("nearest is not null and r1 <> r2").drop("r1", "r2")
         rest = written(star.join(edge, "region").where(F.col("open") | (F.col("distance") >= F.col("nearest") - radius)).drop("nearest"), "rest")
         parts = rest.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"))
         parts = parts.groupBy("region").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("root", "c").alias("largest")).where("m * m > squares")
@@ -71,11 +68,4 @@ def settle(
         many = rest.where(~ending)
         if many.isEmpty():
             return tied.toDF("node", "root")
-        columns = ["region", "rep", "attribute", "open"]
-        deeper = deepen(many.where(F.col("drawn") < DRAWN).select(*columns), level)
-        again = many.select(*columns) if deeper is None else many.where(F.col("drawn") >= DRAWN).select(*columns)
-        if deeper is not None:
-            deeper = written(deeper.select(*columns), "deeper")
-            again = again.unionByName(deeper.join(once(deeper).select("region"), "region").select(*columns))
-            level += 1
-        rows = written(again, "members")
+        rows = written(many.select("region", "rep", "attribute", "open"), "members")
