@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import normal_tag
 from sievework.functions.times import Splits, in_window
+from sievework.operators.numbering import number
 
 
 def user_stats(inter: DataFrame, splits: Splits) -> DataFrame:
@@ -61,13 +62,8 @@ def day_slices(inter: DataFrame) -> DataFrame:
 
 
 def dense_index(ids: DataFrame, column: str, name: str) -> DataFrame:
-    """0-based index by ascending id: range partitions are numbered, then shifted by the rows before them."""
-    dealt = ids.select(column).distinct().repartitionByRange(column).withColumn("__part", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(column))
-    starts = dealt.groupBy("__part").agg(F.min(column).alias("__first"), F.count(F.lit(1)).alias("__n"))
-    # partitions are ordered by their first id, one row each
-    starts = starts.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return dealt.withColumn("__i", inside).join(F.broadcast(starts.select("__part", "__start")), "__part").select(column, (F.col("__start") + F.col("__i") - 1).cast("int").alias(name))
+    """0-based index by ascending id."""
+    return number(ids.select(column).distinct(), [F.col(column)], name).withColumn(name, (F.col(name) - 1).cast("int"))
 
 
 def category_codes(items: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.sources.scratch import written
+
 
 def prune_once(edges: DataFrame, k: int, user: str = "user_id", item: str = "item_id") -> DataFrame:
     """Edges whose user and item both have k edges in this very snapshot."""
@@ -21,13 +20,9 @@ def kcore(edges: DataFrame, k: int, most: int = 50, user: str = "user_id", item:
 
     Each pass is written to the checkpoint folder, which cuts lineage and survives lost executors.
     """
-    spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kcore-")
-    run, funnel = uuid.uuid4().hex, []
+    funnel: list[dict] = []
     for i in range(most + 1):
-        path = f"{base}/kcore-{run}/{i}"
-        edges.write.parquet(path)
-        edges = spark.read.parquet(path)
+        edges = written(edges, "kcore")
         n, users, items = edges.agg(F.count(F.lit(1)), F.count_distinct(user), F.count_distinct(item)).first()
         funnel.append({"iteration": i, "rows": n, "users": users, "items": items, "converged": bool(funnel) and n == funnel[-1]["rows"]})
         if funnel[-1]["converged"]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.numbering import number
+
 
 def per_user(ranks: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """recall@10/20, hitrate@10, mrr, ndcg@10/20 of each user; users without truth get 0."""
@@ -43,7 +45,7 @@ def novelty(top: DataFrame, counts: DataFrame, k: int = 10) -> DataFrame:
 
 def head_share(top: DataFrame, counts: DataFrame, k: int = 10, share: float = 0.01) -> DataFrame:
     """Share of the slots that go to the ceil(share * items) most popular items."""
-    ranked = counts.withColumn("r", F.row_number().over(Window.orderBy(F.col("n").desc(), "item_id"))).join(F.broadcast(counts.agg(F.ceil(F.count(F.lit(1)) * share).alias("head"))))
+    ranked = number(counts, [F.col("n").desc(), F.col("item_id")], "r").join(F.broadcast(counts.agg(F.ceil(F.count(F.lit(1)) * share).alias("head"))))
     head = ranked.where("r <= head").select("item_id", F.lit(1).alias("in_head"))
     return top.where(F.col("position") <= k).join(head, "item_id", "left").agg(F.avg(F.coalesce("in_head", F.lit(0))).alias("head_share"))
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.numbering import number
+
 
 def global_rank(scores: DataFrame) -> DataFrame:
     """item_id, score, rank of a score that is the same for every user: score descending, item ascending."""
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "item_id")))
+    return number(scores, [F.col("score").desc(), F.col("item_id")], "rank")
 
 
 def masked_ranks(truth: DataFrame, seen: DataFrame, ranked: DataFrame) -> DataFrame:
