@@ -4,8 +4,8 @@ Features are the presence of hashed n-grams of the lower-cased text's bytes. Spa
 how many labelled texts each feature stands; the features whose class shares differ most are kept, scaled by
 their log-count ratio, and a logistic regression is fitted on them.
 
-Training reads at most `MOST` labelled rows (those with the smallest hash of doc_id), a fixed bound; scoring
-reads every whole text. Null and empty texts have no feature and get the score of the intercept. Without
+Training reads at most `MOST` labelled rows (those with the smallest hash of doc_id), a fixed bound: their ids are
+broadcast, so no text is shuffled to meet its label. Scoring reads every whole text. Null and empty texts have no feature and get the score of the intercept. Without
 labels, or with one class only, every score is the smoothed share of label 1. Labels that are null are left
 out; a document labelled several times counts each time.
 """
@@ -85,7 +85,6 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, keep: int = KEEP) -> Model:
     """A model of `label` (0 or 1) from `text`, on the `most` labelled ids with the smallest hash."""
     ids = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label is not null").orderBy(F.xxhash64("doc_id")).limit(most)
-    # at most `most` ids are broadcast, so no text is shuffled to meet its label
     sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").repartition(12), "labelled")
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
