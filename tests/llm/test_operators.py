@@ -272,3 +272,65 @@ def test_interval_expansion():
                     count[c[k : k + least]] = count.get(c[k : k + least], 0) + 1
             want = [k + least <= len(c) and count[c[k : k + least]] > 1 for c in contexts for k in range(len(c))]
             assert passages.repeated(contexts, least).tolist() == want
+
+
+def edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def edited(rnd, line, n):
+    """The line after n edits that leave it normalised."""
+    out = list(line)
+    for _ in range(n):
+        i, kind = rnd.randrange(1, len(out) - 1), rnd.randrange(3)
+        if " " in out[i - 1 : i + 2]:
+            continue
+        out[i : i + 1] = [out[i], rnd.choice("aeioursté")] if kind == 0 else [rnd.choice("aeioursté")] if kind == 1 else []
+    return "".join(out)
+
+
+def fuzzy_pairs(n=400):
+    """Lines of 10 characters and more, and edited versions of them that are similar."""
+    rnd = random.Random(12)
+    for _ in range(n):
+        line = " ".join("".join(rnd.choice("aeiourstlndé") for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(3, 60)))
+        other = edited(rnd, line, rnd.randint(1, max(1, len(line) // 10)))
+        most = max(len(line), len(other)) // 10
+        if line != other and edits(line, other) <= most:
+            yield line, other
+
+
+def test_fuzzy_keys_meet():
+    short, met = 0, []
+    for line, other in fuzzy_pairs():
+        owner, key = fuzzy_lines.keys([line, other])
+        meet = bool(set(key[owner == 0]) & set(key[owner == 1]))
+        if max(len(line), len(other)) < fuzzy_lines.SHORT:
+            short += 1
+            assert meet, (line, other)
+        else:
+            met.append(meet)
+    assert short > 20 and np.mean(met) > 0.97
+    x, y = zip(*fuzzy_pairs(100), strict=True)
+    assert all(low <= edits(a, b) for a, b, low in zip(x, y, fuzzy_lines._least_edits(list(x), list(y)), strict=True))
+
+
+@pytest.mark.parametrize("small", [0, 32])
+def test_fuzzy_lines_of_few_and_many_words(spark, small):
+    pairs = [p for p in fuzzy_pairs(60) if max(map(len, p)) < 60 or edits(*p) <= 3]
+    texts = [t for p in pairs for t in p]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            m = max(len(texts[i]), len(texts[j]))
+            if abs(len(texts[i]) - len(texts[j])) <= m // 10 and edits(texts[i], texts[j]) <= m // 10:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = got(fuzzy_lines._without(df, small))
+    assert [rows[i]["text"] for i in range(len(texts))] == [t if root[i] == i else "" for i, t in enumerate(texts)]
