@@ -1,10 +1,11 @@
 """Operator 8: exact Jaccard join of shingle sets in metric-space regions.
 
-Distance is 1 - Jaccard, a metric; documents link within the radius r = 0.15.
+Distance is 1 - Jaccard, a metric; documents link within the radius r = 1 - percent / 100. `join` and `keep_one` take
+the words of a shingle and the percent; the query's are `K` and `PERCENT`.
 
 1. Equal sets are one class, represented by its least doc_id.
 2. The first pivots are single shingles, in one order for all documents: hot shingles last, then by hash. The
-   region of a pivot holds the sets that contain it among their first n - ceil(0.85 n) + 1 shingles; the sets
+   region of a pivot holds the sets that contain it among their first n - ceil(percent n / 100) + 1 shingles; the sets
    within r of one another share such a shingle, so a set is replicated to the regions of its prefix (its
    boundary) and no link is lost. Random sets are at distance 1 of each other, which is why pivots that are
    documents can only part sets inside such a region: on the whole corpus they part nothing.
@@ -95,15 +96,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndar
     return owner[new], key[new]
 
 
-def _need(n: np.ndarray) -> np.ndarray:
+def _need(n: np.ndarray, percent: int) -> np.ndarray:
     """Shingles that a set of n must share with any set it links with."""
-    return (PERCENT * n + 99) // 100
+    return (percent * n + 99) // 100
 
 
-def _hot(docs: DataFrame) -> np.ndarray:
+def _hot(docs: DataFrame, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in utf8_batches(batches, "text", BATCH):
-            _, key = shingles(data, offsets)
+            _, key = shingles(data, offsets, k)
             found, n = np.unique(key, return_counts=True)
             often = n >= HOT_IN_BATCH
             yield pa.RecordBatch.from_arrays([pa.array(found[often]), pa.array(n[often].astype(np.int64))], ["shingle", "n"])
@@ -117,7 +118,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
 
 
-def _sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
     """doc_id, n, set_hash, the prefix and cells of each text.
 
     Cells count the shingles by the first 8 bits of their hash.
@@ -127,7 +128,7 @@ def _sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
         for part, data, offsets in utf8_batches(batches, "text", BATCH):
-            owner, key = shingles(data, offsets)
+            owner, key = shingles(data, offsets, k)
             n = np.bincount(owner, minlength=part.num_rows)
             sums = np.zeros(part.num_rows, np.uint64)
             np.add.at(sums, owner, mix(key.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))
@@ -135,7 +136,7 @@ def _sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 at = np.minimum(np.searchsorted(last, key), len(last) - 1)
                 order = np.lexsort((key, last[at] == key, owner))
                 key = key[order]
-            length = np.minimum(n, n - _need(n) + 1)
+            length = np.minimum(n, n - _need(n, percent) + 1)
             rank = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
             prefix = key[rank < np.repeat(length, n)]
             cells = np.bincount(owner * CELLS + (key.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=part.num_rows * CELLS)
@@ -152,7 +153,7 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(full, 0.0, 1 - shared / (x.sum(1) + y.sum(1) - shared))
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, distance, linked, exact) of pairs of doc_ids: whole sets where the cells' bound leaves a link possible."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +166,11 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     cells = classes.select(F.col("rep").alias("a"), F.col("cells").alias("x"))
     met = pairs.join(cells, "a").join(cells.toDF("b", "y"), "b").select("a", "b", "x", "y")
     met = written(met.mapInArrow(bounded, "a long, b long, distance double"), "bounds")
-    far = met.where(F.col("distance") > RADIUS).select("a", "b", "distance", F.lit(False).alias("linked"), F.lit(False).alias("exact"))
-    return far.unionByName(_exact(docs, met.where(F.col("distance") <= RADIUS).select("a", "b")))
+    far = met.where(F.col("distance") > _radius(percent)).select("a", "b", "distance", F.lit(False).alias("linked"), F.lit(False).alias("exact"))
+    return far.unionByName(_exact(docs, met.where(F.col("distance") <= _radius(percent)).select("a", "b"), k, percent))
 
 
-def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _exact(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     shared = docs.sparkSession.sparkContext.broadcast(bloom(ids))
 
@@ -178,7 +179,7 @@ def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             asked = batch.filter(pa.array(known(bits, batch.column(0).to_numpy())))
             for part, data, offsets in utf8_batches(iter([asked]), "text", BATCH):
-                owner, key = shingles(data, offsets)
+                owner, key = shingles(data, offsets, k)
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(key, np.bincount(owner, minlength=part.num_rows))], ["id", "set"])
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -188,18 +189,19 @@ def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - same
-    return both.select("a", "b", (1 - same / union).alias("distance"), (100 * same >= PERCENT * union).alias("linked"), F.lit(True).alias("exact"))
+    return both.select("a", "b", (1 - same / union).alias("distance"), (100 * same >= percent * union).alias("linked"), F.lit(True).alias("exact"))
 
 
-def _close(n: Column, m: Column) -> Column:
+def _close(n: Column, m: Column, percent: int) -> Column:
     """Whether sets of these sizes can link."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-RADIUS = 1 - PERCENT / 100 + 1e-9
+def _radius(percent: int) -> float:
+    return 1 - percent / 100 + 1e-9
 
 
-def roots(docs: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
+def roots(docs: DataFrame, classes: DataFrame, small: int, k: int, percent: int) -> DataFrame:
     """(node, root) of the classes that links connect.
 
     Only pairs of classes that no links found before connect are verified.
@@ -220,22 +222,22 @@ def roots(docs: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
 
     rows = region.mapInArrow(explode, "region long, rep long, attribute long").join(several, "region")
 
-    return settle(rows, _close, lambda pairs: _verify(docs, classes, pairs), lambda n, m: 1 - F.least(n, m) / F.greatest(n, m), RADIUS, small)
+    return settle(rows, lambda n, m: _close(n, m, percent), lambda pairs: _verify(docs, classes, pairs, k, percent), lambda n, m: 1 - F.least(n, m) / F.greatest(n, m), _radius(percent), small)
 
 
-def join(docs: DataFrame, small: int = SMALL) -> DataFrame:
+def join(docs: DataFrame, small: int = SMALL, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
     docs = docs.select("doc_id", "text")
-    sets = written(_sets(docs, _hot(docs)), "shingles")
+    sets = written(_sets(docs, _hot(docs, k), k, percent), "shingles")
     classes = written(sets.where("n > 0 and doc_id is not null").groupBy("set_hash", "n").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("cells").alias("cells")), "classes")
-    found = roots(docs, classes, small)
+    found = roots(docs, classes, small, k, percent)
     named = classes.select("set_hash", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", "n", F.coalesce("root", "rep").alias("component"))
     return sets.select("doc_id", "n", "set_hash").join(named, ["set_hash", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The documents that are the least of their component, each once; rows without doc_id stay."""
-    firsts = join(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    firsts = join(docs, k=k, percent=percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

@@ -334,3 +334,21 @@ def test_fuzzy_lines_of_few_and_many_words(spark, small):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = got(fuzzy_lines._without(df, small))
     assert [rows[i]["text"] for i in range(len(texts))] == [t if root[i] == i else "" for i, t in enumerate(texts)]
+
+
+def test_near_duplicates_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("aeiourst") for _ in range(8))
+    base = [word() for _ in range(1000)]
+    tail = [word() for _ in range(300)]
+    texts = [" ".join(base), " ".join(base + tail[:200]), " ".join(base + tail), "one two", "one two", None]
+    rows = [*enumerate(texts), (None, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # 996 of 1196 shingles of five words are shared (0.83), 1196 of 1296 (0.92), 996 of 1296 (0.77)
+    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [0, 3, 5] and len(kept) == 4
+    two = df.where("doc_id < 2")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, two, "").collect()] == [0]
+    assert len({r["component_id"] for r in jaccard_join.join(two).collect()}) == 2
