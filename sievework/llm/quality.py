@@ -248,7 +248,9 @@ def _measure_all(docs: DataFrame, turns: list[dict[str, list]]) -> DataFrame:
     lang = F.coalesce(F.col("lang"), F.lit(""))
     if len(turns) == 1:
         return measured(docs, turns[0])
-    parts = [measured(docs.where(lang.isin(list(m))), m) for m in turns]
+    # languages without an n-gram have no model; their rows go with the first turn
+    later = [x for m in turns[1:] for x in m]
+    parts = [measured(docs.where(lang.isin(list(m)) if i else ~lang.isin(later)), m) for i, m in enumerate(turns)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

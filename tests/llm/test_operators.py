@@ -352,3 +352,16 @@ def test_near_duplicates_of_the_pipeline(spark):
     two = df.where("doc_id < 2")
     assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, two, "").collect()] == [0]
     assert len({r["component_id"] for r in jaccard_join.join(two).collect()}) == 2
+
+
+def test_quality_in_several_turns_keeps_all_rows(spark, docs, monkeypatch):
+    short = [(900, None, None), (901, "", "xx"), (902, "abc", "yy"), (903, None, "xx")]
+    some = docs.where("lang is not null").select("doc_id", "text", "lang").unionByName(spark.createDataFrame(short, "doc_id long, text string, lang string"))
+    whole = got(quality.judge(some))
+    monkeypatch.setattr(quality, "TURN", 1)
+    turns = quality.models(some)
+    assert [list(m) for m in turns] == [["de"], ["en"]]
+    assert got(quality.judge(some)) == whole and len(whole) == some.count()
+    assert all(whole[i]["base_failed"] and not whole[i]["kept"] for i in range(900, 904))
+    kept = {r["doc_id"] for r in quality.keep_good(some).collect()}
+    assert kept == {i for i, r in whole.items() if r["kept"]}
