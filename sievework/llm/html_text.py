@@ -5,8 +5,10 @@ its two neighbours on either side, its own tag, and whether an open container na
 something else (menu, advert, comments, form...). A decision tree, trained on a small labelled table of pages
 built by a rule, says which blocks are main text; those are joined in page order.
 
-Nulls: a null or empty page has an empty text. Markup that is cut off or never closed is read as browsers do:
-the rest of the page belongs to it. Repeated rows are read each; an empty table gives an empty result.
+Nulls: a null or empty page has an empty text. Scripts, styles, titles, templates, text areas and the like that
+are never closed are read as browsers do: the rest of the page belongs to them. A head needs no end tag, as what can
+stand in it has no text of the page. A button, list of choices or drawing that is never closed ends at the next tag of
+a block. Repeated rows are read each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm.common import table, texts_of
 
+#: Tags that end an element of phrases that was left open.
+_BREAK = r"</?(?:address|article|aside|blockquote|body|center|d[dlt]|details|div|fieldset|figcaption|figure|footer|form|h[1-6r]|header|hgroup|html|li|main|menu|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)(?=[\s/>])"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|object|select|textarea|button|math|canvas|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:svg|math)\b[^>]*/>"
+    r"|<(svg|object|select|button|math|canvas)\b[^>]*>(?:(?:(?!<\2\b).)*?</\2\s*>|.*?(?:</\2\s*>|(?=" + _BREAK + r")|\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)",
@@ -35,6 +41,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _KINDS = {"p": 1, "blockquote": 1, "pre": 1, **{f"h{i}": 2 for i in range(1, 7)}, "li": 3, "dd": 3, "dt": 3, "td": 4, "th": 4, "figcaption": 4, "caption": 4}
 _APART = frozenset("nav footer aside form menu dialog fieldset".split())
 _BODY = frozenset("article main".split())
+_PAGE = frozenset("html head body".split())
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _APART_NAMES = re.compile(r"(?<![a-z])(?:ads?|adverts?|advertisements?|banner|breadcrumbs?|captcha|comments?|comment-list|consent|contentinfo|cookies?|copyright|discussion|disqus|dialog|footer|form|gdpr|legal|login|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|recommended|related|replies|reply|responses|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags|toolbar|topbar|widget|alert|complementary)(?![a-z])", re.I)
 _HEAD_NAMES = re.compile(r"(?<![a-z])(?:header|masthead)(?![a-z])", re.I)
@@ -79,12 +86,12 @@ def blocks(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         say(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[4] or m[7] or "").lower()
         if not tag:
-            if m[1]:
+            if m[1] or m[2]:
                 held.append(" ")
             continue
-        closing, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
+        closing, attributes = bool(m[3] or m[6]), m[5] or m[8] or ""
         if tag == "a":
             link = not closing
         elif tag == "br":
@@ -105,7 +112,7 @@ def blocks(page: str) -> list[Block]:
                 names = " ".join(x.strip("\"'") for x in _NAMES.findall(attributes)).replace("_", "-")
                 outside = tag in _APART or bool(names and _APART_NAMES.search(names)) or (not body and (tag == "header" or bool(names and _HEAD_NAMES.search(names))))
                 inside = tag in _BODY or bool(names and _BODY_NAMES.search(names))
-                stack.append((tag, (body or inside) and tag not in ("body", "html"), (apart or outside) and tag not in ("body", "html")))
+                stack.append((tag, (body or inside) and tag not in _PAGE, (apart or outside) and tag not in _PAGE))
     say(page[at:])
     flush()
     return out

@@ -365,3 +365,12 @@ def test_quality_in_several_turns_keeps_all_rows(spark, docs, monkeypatch):
     assert all(whole[i]["base_failed"] and not whole[i]["kept"] for i in range(900, 904))
     kept = {r["doc_id"] for r in quality.keep_good(some).collect()}
     assert kept == {i for i, r in whole.items() if r["kept"]}
+
+
+@pytest.mark.parametrize("before", ["", "<button>Share", "<select><option>One<option>Two", "<svg><path d=x>", "<svg/>", "<object data=x>", "<math><mi>x", "<canvas>none", "<button>Share</button>", "<svg><svg></svg></svg>"])
+def test_html_without_end_tags(before):
+    tree = html_text.trained()[0]
+    page = "<html><head id='header'><meta charset=utf-8><title>T</title><style>p {}</style><body><nav><a href=/>Home</a></nav><article><h1>Title of it</h1>" + before + "<p>First paragraph of the text.<p>Second one here, long enough.</article><footer><button><div>Top</div></button>&copy; us</footer>"
+    assert html_text.extract(page, tree) == "Title of it\n\nFirst paragraph of the text.\n\nSecond one here, long enough."
+    assert html_text.extract(page.replace("<body>", ""), tree) == html_text.extract(page, tree)
+    assert html_text.extract("<article><p>Some text that stays here.<script>var x = '<p>no</p>'", tree) == "Some text that stays here."
