@@ -170,7 +170,7 @@ def random_ranks(spark, sf):
 @query("als_scores")
 def als_scores(spark, sf):
     _, train, val = _splits(spark, sf, SPARSE)
-    return models.als(train, rank=8, iterations=3).transform(val.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"))).select("user_id", "item_id", "prediction")
+    return models.als(train).transform(val.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"))).select("user_id", "item_id", "prediction")
 
 
 @query("hybrid_users", f"WITH {D.labelled(SPARSE)}, {_SEG}, {_POP} SELECT v.user_id, v.item_id, CASE WHEN n_train < 5 THEN p.score ELSE -p.score END AS score FROM val v JOIN seg USING (user_id) JOIN pop p ON p.item_id = v.item_id")
@@ -217,14 +217,14 @@ def routing_grid(spark, sf):
 def bootstrap_segments(spark, sf):
     inter, _, _, ranks = _pop_ranks(spark, sf)
     m = metrics.per_user(ranks).join(D.segments(inter, MAIN), "user_id")
-    return stats.segment_intervals(m, "segment", "ndcg_10", {s: i for i, s in enumerate(SEGMENTS)}, resamples=200)
+    return stats.segment_intervals(m, "segment", "ndcg_10", {s: i for i, s in enumerate(SEGMENTS)})
 
 
 @query("compare_arms")
 def compare_arms(spark, sf):
     inter, _, _, ranks = _pop_ranks(spark, sf)
     m = metrics.per_user(ranks)
-    return stats.compare_arms(m.select("user_id", F.col("ndcg_10").alias("m")), m.select("user_id", F.col("recall_10").alias("m")), "m", D.segments(inter, MAIN), resamples=200)
+    return stats.compare_arms(m.select("user_id", F.col("ndcg_10").alias("m")), m.select("user_id", F.col("recall_10").alias("m")), "m", D.segments(inter, MAIN))
 
 
 @query("q_values", """WITH t AS (SELECT 'f' || (l_linenumber % 3) AS family, CAST(l_linenumber AS VARCHAR) AS label, round(avg(l_discount) * 3 - 0.1, 6) AS p FROM lineitem GROUP BY l_linenumber),

@@ -191,3 +191,29 @@ def test_buckets_and_dense_index(spark):
     df = spark.createDataFrame([(n,) for n in (0, 1, 4, 5, 99, 100)], "n int")
     assert [r[0] for r in df.select(bucket(F.col("n"), DEEP_EDGES, DEEP)).collect()] == ["0", "1-4", "1-4", "5-9", "50-99", "100+"]
     assert rows(features.dense_index(df.unionAll(df), "n", "i")) == sorted([(n, i) for i, n in enumerate((0, 1, 4, 5, 99, 100))], key=str)
+
+
+def test_queries_take_the_operators_own_numbers(spark, monkeypatch):
+    from inspect import signature
+
+    from sievework.plans import evaluation
+
+    asked = {}
+
+    def spy(module, name):
+        f = getattr(module, name)
+
+        def call(*args, **kwargs):
+            bound = signature(f).bind(*args, **kwargs)
+            bound.apply_defaults()
+            asked[name] = bound.arguments
+            return f(*args, **kwargs)
+
+        monkeypatch.setattr(module, name, call)
+
+    spy(stats, "segment_intervals"), spy(stats, "compare_arms"), spy(models, "als")
+    sf = "/root/testdata/sf0.001"
+    evaluation.bootstrap_segments(spark, sf), evaluation.compare_arms(spark, sf), evaluation.als_scores(spark, sf)
+    for name in ("segment_intervals", "compare_arms"):
+        stats.check_parameters(asked[name]["resamples"], asked[name]["seed"], stats.ALPHA)
+    assert (asked["als"]["rank"], asked["als"]["iterations"]) == (16, 5)
