@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.operators.numbering import number
+from sievework.operators.numbering import number, numbered_sum
+from sievework.sources.scratch import written
 
 
 def global_rank(scores: DataFrame) -> DataFrame:
@@ -54,8 +55,55 @@ def sparse_ranks(truth: DataFrame, seen: DataFrame, scores: DataFrame, index: Da
     return rows.withColumn("rank", rank.cast("long")).where("gt = 1").select("user_id", "item_id", "rank")
 
 
-def dense_ranks(scores: DataFrame, truth: DataFrame, seen: DataFrame) -> DataFrame:
-    """Ranks of truth items among given (user_id, item_id, score), seen items out."""
-    live = scores.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "item_id")
-    return live.withColumn("rank", F.row_number().over(w)).join(truth.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").select("user_id", "item_id", "rank")
+def count_before(items: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked with `before`: how many items of the same `group` have a lesser item_id.
+
+    Both are put in one global order that Spark deals by ranges, so a large group has no task of its own. asked has
+    group, item_id and other columns; items has group and item_id.
+    """
+    one = items.select("group", "item_id", F.lit(1).alias("item"), *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in asked.columns if c not in ("group", "item_id")])
+    both = asked.withColumn("item", F.lit(0)).unionByName(one).withColumn("tie", F.monotonically_increasing_id())
+    placed = numbered_sum(both, ["group", "item_id", "item", "tie"], "item", "upto")
+    first = items.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    last = placed.where("item = 1").groupBy("group").agg(F.max("upto").alias("last")).join(first, "group")
+    found = placed.where("item = 0").join(last.select("group", (F.col("last") - F.col("size")).alias("start")), "group", "left")
+    return found.withColumn("before", F.coalesce(F.col("upto") - F.col("start"), F.lit(0))).drop("item", "tie", "upto", "start")
+
+
+def shared_ranks(truth: DataFrame, seen: DataFrame, shares: DataFrame, items: DataFrame, digits: int) -> DataFrame:
+    """(user_id, item_id, rank) of truth items under the score round(share of the item's category * score, digits).
+
+    shares: (user_id, category, share); items: (item_id, category, score), null categories never match. Users meet
+    only the categories they have: a category's items above a score are a running count over its distinct scores
+    (whole counts of interactions, whose distinct values grow with the square root of their sum), ties are counted by
+    `count_before`, and a user's own seen items are taken off. Items without a score follow by id. Scores of one
+    category must differ after rounding.
+    """
+    scored = F.round(F.col("share") * F.col("score"), digits)
+    of = truth.select("user_id", "item_id").join(items.select("item_id", "category", "score"), "item_id").join(shares, ["user_id", "category"], "left")
+    asked = written(of.select("user_id", "item_id", F.coalesce(scored, F.lit(0.0)).alias("own")), "asked")
+    levels = items.where("score > 0").groupBy("category", "score").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("category").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("above", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    table = levels.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("score", "above", "n"))).alias("levels"))
+    met = asked.join(shares.select("user_id", "category", "share"), "user_id").join(table, "category")
+    reached = F.filter("levels", lambda x: (F.round(F.col("share") * x["score"], digits) >= F.col("own")) & (F.round(F.col("share") * x["score"], digits) > 0))
+    met = met.withColumn("level", F.try_element_at(reached, F.lit(1))).where("level is not null").drop("levels")
+    equal = F.round(F.col("share") * F.col("level.score"), digits) == F.col("own")
+    met = met.withColumns({"tied": equal, "more": F.col("level.above") + F.when(equal, F.lit(0)).otherwise(F.col("level.n"))})
+    met = written(met, "met")
+    per_score = F.concat_ws("|", F.col("category"), F.col("score"))
+    ties = met.where("tied").select(F.concat_ws("|", F.col("category"), F.col("level.score")).alias("group"), "user_id", F.col("item_id"))
+    zero = asked.where("own = 0").join(shares.select("user_id", "category"), "user_id").select(F.col("category").alias("group"), "user_id", "item_id")
+    positive = items.where("score > 0")
+    counted = count_before(positive.select(per_score.alias("group"), "item_id").unionByName(positive.select(F.col("category").alias("group"), "item_id")), ties.withColumn("sign", F.lit(1)).unionByName(zero.withColumn("sign", F.lit(-1))))
+    more = met.groupBy("user_id", "item_id").agg(F.sum("more").alias("more"))
+    tied = counted.groupBy("user_id", "item_id").agg(F.sum(F.col("before") * F.col("sign")).alias("tied"))
+    rest = count_before(items.select(F.lit("all").alias("group"), "item_id"), asked.where("own = 0").select(F.lit("all").alias("group"), "user_id", "item_id")).select("user_id", "item_id", F.col("before").alias("rest"))
+    mask = seen.select("user_id", "item_id").distinct().join(items.select("item_id", "category", "score"), "item_id").join(shares, ["user_id", "category"], "left")
+    mask = mask.select("user_id", "item_id", F.coalesce(scored, F.lit(0.0)).alias("own"), F.lit(1).alias("seen"))
+    both = asked.withColumn("seen", F.lit(0)).unionByName(mask)
+    off = F.sum("seen").over(Window.partitionBy("user_id").orderBy(F.col("own").desc(), "item_id", "seen").rowsBetween(Window.unboundedPreceding, -1))
+    out = both.withColumn("off", F.coalesce(off, F.lit(0))).where("seen = 0").join(more, ["user_id", "item_id"], "left").join(tied, ["user_id", "item_id"], "left").join(rest, ["user_id", "item_id"], "left")
+    rank = 1 + F.coalesce("more", F.lit(0)) + F.coalesce("tied", F.lit(0)) + F.coalesce("rest", F.lit(0)) - F.col("off")
+    return out.select("user_id", "item_id", rank.cast("long").alias("rank"))

@@ -154,11 +154,11 @@ def knn_scores(spark, sf):
  r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s) SELECT user_id, item_id, rank FROM r SEMI JOIN gt USING (user_id, item_id)""")
 def category_ranks(spark, sf):
     _, train, val = _splits(spark, sf, SPARSE)
-    items = D.items(spark, sf)
+    items = D.items(spark, sf).select("item_id", F.coalesce("category", F.lit("__unknown__")).alias("category"))
     pop = train.groupBy("item_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    scores = _round(models.category_popularity(train, items, pop), "score", digits=9)
+    scored = items.join(pop, "item_id", "left").fillna({"score": 0.0})
     warm = val.join(train.select("user_id").distinct(), "user_id", "left_semi")
-    return ranking.sparse_ranks(warm, train, scores, features.dense_index(items, "item_id", "idx"))
+    return ranking.shared_ranks(warm, train, models.category_shares(train, items), scored, 9)
 
 
 @query("random_ranks")

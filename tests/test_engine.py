@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -217,3 +218,21 @@ def test_queries_take_the_operators_own_numbers(spark, monkeypatch):
     for name in ("segment_intervals", "compare_arms"):
         stats.check_parameters(asked[name]["resamples"], asked[name]["seed"], stats.ALPHA)
     assert (asked["als"]["rank"], asked["als"]["iterations"]) == (16, 5)
+
+
+def test_shared_ranks_against_brute_force(spark):
+    rng = random.Random(5)
+    items = [(i, f"c{rng.randrange(3)}", float(rng.choice([0, 0, 1, 1, 2, 3]))) for i in range(60)]
+    shares = [(u, f"c{c}", w) for u in range(8) for c, w in enumerate(rng.choice([(0.5, 0.5, 0.0), (0.25, 0.5, 0.25), (1.0, 0.0, 0.0)])) if w]
+    seen = [(u, i) for u in range(8) for i in rng.sample(range(60), 7)]
+    truth = [(u, i) for u in range(8) for i in rng.sample(range(60), 9) if (u, i) not in seen]
+    of = {(u, c): w for u, c, w in shares}
+    want = set()
+    for u in range(8):
+        order = sorted((-round(of.get((u, c), 0) * s, 9), i) for i, c, s in items if (u, i) not in seen)
+        want |= {(u, i, n + 1) for n, (_, i) in enumerate(order) if (u, i) in truth}
+    got = ranking.shared_ranks(
+        spark.createDataFrame(truth, "user_id long, item_id long"), spark.createDataFrame(seen, "user_id long, item_id long"),
+        spark.createDataFrame(shares, "user_id long, category string, share double"), spark.createDataFrame(items, "item_id long, category string, score double"), 9,
+    )
+    assert {tuple(r) for r in got.collect()} == want
