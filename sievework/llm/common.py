@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only in a local session that has none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -30,12 +32,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievework/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sievework_path = path
+    return out
 
 
-def rename_clashes(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the columns an operator reads, so that no other column of the input can clash with its own."""
-    return df.select(*keep)
+#: Tables of this session that `written` made and nobody has deleted.
+_TABLES: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _TABLES.remove(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that no later action reads."""
+    for df in tables:
+        path = getattr(df, "_sievework_path", None)
+        if path in _TABLES:
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession, *kept: DataFrame) -> None:
+    """Deletes all tables that `written` made, but for those that `kept` reads."""
+    files = [f for df in kept for f in df.inputFiles()]
+    for path in list(_TABLES):
+        if not any(path.rsplit("/", 1)[1] in f for f in files):
+            _delete(spark, path)
 
 
 def gapless(df: DataFrame, group: list[str], order: list[str], buckets: int, name: str = "slot") -> DataFrame:
@@ -59,10 +85,6 @@ def gapless(df: DataFrame, group: list[str], order: list[str], buckets: int, nam
     )
 
 
-def code_points(c: Column) -> Column:
-    return F.length(c)
-
-
 def utf8_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about `limit` bytes of text: (slice, bytes as uint8, offsets). Null is empty.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import written
+from sievework.llm.common import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,4 +26,5 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
+        last, edges = edges, written(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
+        dropped(last)

@@ -9,17 +9,15 @@ the words of a shingle and the percent; the query's are `K` and `PERCENT`.
    within r of one another share such a shingle, so a set is replicated to the regions of its prefix (its
    boundary) and no link is lost. Random sets are at distance 1 of each other, which is why pivots that are
    documents can only part sets inside such a region: on the whole corpus they part nothing.
-3. In a region the least open member is the pivot document. Distances to it are exact. Members within r are
-   linked to it and so in one component; they stay only if the triangle inequality lets an open member be
-   within r of them. Open members and these form the next region.
-4. Regions with the same members are taken once, and those whose members are in one component are done. A region
-   ends with the pairs that sizes, triangle windows and components leave when these are at most `SMALL` for each
-   member, or after some rounds; until then it gets another pivot (module `regions`).
-
-Links are verified on whole sets, after a bound that compares counts of shingles by hash cell has cleared pairs
-that can't link; components are those of the links. Nulls and texts without words have the empty
-set and link with nothing; a text of fewer than `k` words is one shingle. A row without doc_id stands alone. An
-empty table gives an empty result.
+3. Inside a region pivot documents take the members near them as their Voronoi cells and are verified with them; the
+   pivots of large regions meet in regions of their own (module `regions`).
+4. Regions with the same members are taken once, and those whose members are in one component are done. Of the
+   others, pairs between components that sizes and counts of shingles by hash cell leave possible are verified.
+
+Links are verified on whole sets; components are those of the links. Nulls and texts without words have the empty
+set and link with nothing; a text of fewer than `k` words is one shingle. A row without doc_id stands alone. Rows
+that share a doc_id are compared by their own texts; the component of each is that of its text. An empty table gives
+an empty result. Only doc_id and text are read, so other columns of any name can't clash.
 """
 
 from __future__ import annotations
@@ -32,13 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.bloom import bloom, known, mix
-from sievework.llm.common import table, utf8_batches, written
-from sievework.llm.regions import once, settle
+from sievework.llm.common import dropped, table, utf8_batches, written
+from sievework.llm.regions import CELLS, ROWS, connect, once, shared_counts
 
 K, PERCENT = 4, 85
-SMALL = 48
 BATCH = 1_000_000
-CELLS, MOST_CELL = 256, 65_535
+#: A cell counts so far; a set with a full cell has no bound.
+MOST_CELL = 255
 #: The order of shingles puts these last: seen in a batch by so many texts, so often in all, at most so many.
 HOT_IN_BATCH, HOT_IN_ALL, HOT_MOST = 3, 60, 200_000
 
@@ -118,10 +116,21 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
 
 
+def _set_hash(owner: np.ndarray, key: np.ndarray, texts: int) -> np.ndarray:
+    sums = np.zeros(texts, np.uint64)
+    np.add.at(sums, owner, mix(key.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))
+    return sums.view(np.int64)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id as long, a hash that parts the texts of one doc_id, and the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
+
+
 def _sets(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
     """doc_id, n, set_hash, the prefix and cells of each text.
 
-    Cells count the shingles by the first 8 bits of their hash.
+    Cells count the shingles by the first bits of their hash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -130,8 +139,7 @@ def _sets(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
         for part, data, offsets in utf8_batches(batches, "text", BATCH):
             owner, key = shingles(data, offsets, k)
             n = np.bincount(owner, minlength=part.num_rows)
-            sums = np.zeros(part.num_rows, np.uint64)
-            np.add.at(sums, owner, mix(key.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))
+            sums = _set_hash(owner, key, part.num_rows)
             if len(last):
                 at = np.minimum(np.searchsorted(last, key), len(last) - 1)
                 order = np.lexsort((key, last[at] == key, owner))
@@ -139,40 +147,31 @@ def _sets(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
             length = np.minimum(n, n - _need(n, percent) + 1)
             rank = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
             prefix = key[rank < np.repeat(length, n)]
-            cells = np.bincount(owner * CELLS + (key.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=part.num_rows * CELLS)
-            counts = np.minimum(cells, MOST_CELL).astype("<u2").reshape(-1, CELLS)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sums.view(np.int64)), _lists(prefix, length), pa.array([c.tobytes() for c in counts], pa.binary())], ["doc_id", "n", "set_hash", "prefix", "cells"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_hash long, prefix array<long>, cells binary")
+            cells = np.bincount(owner * CELLS + (key.view(np.uint64) >> np.uint64(57)).astype(np.int64), minlength=part.num_rows * CELLS)
+            counts = np.minimum(cells, MOST_CELL).astype(np.uint8).reshape(-1, CELLS)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(sums), _lists(prefix, length), pa.array([c.tobytes() for c in counts], pa.binary())], ["doc_id", "tie", "n", "set_hash", "prefix", "cells"])
 
+    found = _keyed(docs).mapInArrow(run, "doc_id long, tie long, n long, set_hash long, prefix array<long>, cells binary")
+    return found.withColumn("node", F.xxhash64("set_hash", "n"))
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Lower bounds of distances: two sets share no more than the lesser count of each cell, summed."""
-    shared = np.minimum(x, y).sum(1)
-    full = (x == MOST_CELL).any(1) | (y == MOST_CELL).any(1)
-    return np.where(full, 0.0, 1 - shared / (x.sum(1) + y.sum(1) - shared))
 
+def near(percent: int):
+    """Two sets share no more than the lesser count of each cell, summed."""
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, distance, linked, exact) of pairs of doc_ids: whole sets where the cells' bound leaves a link possible."""
+    def of(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+        shared = shared_counts(x, y, np.minimum)
+        lesser, greater = np.minimum(n[:, None], m[None, :]), np.maximum(n[:, None], m[None, :])
+        full = (x >= MOST_CELL).any(1)[:, None] | (y >= MOST_CELL).any(1)[None, :]
+        shared = np.where(full, lesser, np.minimum(shared, lesser))
+        return (100 * shared >= percent * (n[:, None] + m[None, :] - shared)) & (100 * lesser >= percent * greater)
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, batch.num_rows, 4096):
-                part = batch.slice(s, 4096)
-                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_apart(x, y))], ["a", "b", "distance"])
-
-    cells = classes.select(F.col("rep").alias("a"), F.col("cells").alias("x"))
-    met = pairs.join(cells, "a").join(cells.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    met = written(met.mapInArrow(bounded, "a long, b long, distance double"), "bounds")
-    far = met.where(F.col("distance") > _radius(percent)).select("a", "b", "distance", F.lit(False).alias("linked"), F.lit(False).alias("exact"))
-    return far.unionByName(_exact(docs, met.where(F.col("distance") <= _radius(percent)).select("a", "b"), k, percent))
+    return of
 
 
-def _exact(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids))
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets link, by whole sets of one document of each."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "rep"), "node"), "asked")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids.select("rep")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -180,65 +179,77 @@ def _exact(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
             asked = batch.filter(pa.array(known(bits, batch.column(0).to_numpy())))
             for part, data, offsets in utf8_batches(iter([asked]), "text", BATCH):
                 owner, key = shingles(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(key, np.bincount(owner, minlength=part.num_rows))], ["id", "set"])
-
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    sets = written(asked.mapInArrow(run, "id long, set array<long>").join(ids, "id", "left_semi"), "sets")
-    shared.destroy()
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+                n = np.bincount(owner, minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(_set_hash(owner, key, part.num_rows)), pa.array(n), _lists(key, n)], ["set_hash", "n", "set"])
+
+    read = _keyed(docs).where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "set_hash long, n long, set array<long>")
+    # rows that share a doc_id with the one asked for go here
+    sets = read.select(F.xxhash64("set_hash", "n").alias("node"), "set").join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = written(sets, "sets")
+    left = pairs.join(sets.toDF("a", "x"), "a")
+    both = left.join(sets.toDF("b", "y"), "b")
     same = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - same
-    return both.select("a", "b", (1 - same / union).alias("distance"), (100 * same >= percent * union).alias("linked"), F.lit(True).alias("exact"))
-
-
-def _close(n: Column, m: Column, percent: int) -> Column:
-    """Whether sets of these sizes can link."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    found = written(both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b"), "linked")
+    dropped(ids, sets)
+    return found
 
 
-def _radius(percent: int) -> float:
-    return 1 - percent / 100 + 1e-9
-
-
-def roots(docs: DataFrame, classes: DataFrame, small: int, k: int, percent: int) -> DataFrame:
-    """(node, root) of the classes that links connect.
-
-    Only pairs of classes that no links found before connect are verified.
-    """
-    region = classes.where("n > 1").select("rep", "n", "prefix")
-    several = written(once(region.select(F.explode("prefix").alias("region"), "rep")).select("region"), "regions")
+def roots(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, root) of the classes that links connect."""
+    region = classes.where("n > 1").select("node", "n", "prefix", "cells")
+    several = written(once(region.select(F.explode("prefix").alias("region"), F.col("node").alias("rep"))).select("region"), "regions")
     shared = docs.sparkSession.sparkContext.broadcast(bloom(several))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            lists = batch.column(2)
-            key = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-            hit = known(bits, key)
-            rows = pa.array(row[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), batch.column(0).take(rows), batch.column(1).take(rows)], ["region", "rep", "attribute"])
+            for s in range(0, batch.num_rows, 1000):
+                part = batch.slice(s, 1000)
+                lists = part.column(2)
+                key = lists.flatten().to_numpy()
+                row = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
+                hit = known(bits, key)
+                rows = pa.array(row[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(key[hit]), *[part.column(i).take(rows) for i in (0, 1, 3)]], ["region", "rep", "size", "cells"])
 
-    rows = region.mapInArrow(explode, "region long, rep long, attribute long").join(several, "region")
+    rows = region.mapInArrow(explode, ROWS).join(several, "region")
+    return connect(rows, near(percent), lambda pairs: _linked(docs, classes, pairs, k, percent))
 
-    return settle(rows, lambda n, m: _close(n, m, percent), lambda pairs: _verify(docs, classes, pairs, k, percent), lambda n, m: 1 - F.least(n, m) / F.greatest(n, m), _radius(percent), small)
 
+def components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, tie, n, component, first) of each row; component and first are null for those linked with nothing.
 
-def join(docs: DataFrame, small: int = SMALL, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document."""
+    first: the least (doc_id, tie) of the component.
+    """
     docs = docs.select("doc_id", "text")
     sets = written(_sets(docs, _hot(docs, k), k, percent), "shingles")
-    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("set_hash", "n").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("cells").alias("cells")), "classes")
-    found = roots(docs, classes, small, k, percent)
-    named = classes.select("set_hash", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", "n", F.coalesce("root", "rep").alias("component"))
-    return sets.select("doc_id", "n", "set_hash").join(named, ["set_hash", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    least = F.min(F.struct("doc_id", "tie")).alias("first")
+    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.any_value("n").alias("n"), least, F.any_value("prefix").alias("prefix"), F.any_value("cells").alias("cells")).withColumn("rep", F.col("first.doc_id")), "classes")
+    rows = written(sets.select("doc_id", "tie", "n", "node"), "rows")
+    dropped(sets)
+    found = roots(docs, classes, k, percent)
+    named = classes.select("node", "first").join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("component"))
+    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
+    named = written(named.select("node", "component").join(firsts, "component"), "named")
+    dropped(classes)
+    return rows.join(named, "node", "left").select("doc_id", "tie", "n", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"), F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
+
+
+def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document."""
+    return components_of(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The documents that are the least of their component, each once; rows without doc_id stay."""
-    firsts = join(docs, k=k, percent=percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each component the row with the least doc_id (of equal ones: the least hash of the text), once.
+
+    Rows without doc_id or without words are linked with nothing and stay. Columns of any name are carried through.
+    """
+    found = components_of(docs, k, percent).where("first is not null").select(F.col("first.doc_id").alias("__kept_doc"), F.col("first.tie").alias("__kept_tie")).distinct()
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    linked = F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = docs.where(linked).withColumn("__tie", tie).join(found, (F.col("doc_id").cast("long") == F.col("__kept_doc")) & (F.col("__tie") == F.col("__kept_tie")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__tie"]).drop("__tie").unionByName(docs.where(~linked)).select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,35 @@
-"""Pivots, triangle windows and recursion inside the regions of a metric-space join, for both similarity joins."""
+"""Regions of a metric-space join, for both similarity joins: pivots inside each region, then what is left between components.
+
+Rows are (region, rep, size, cells): a member of a region with a short signature (`CELLS` counts in a byte each).
+Every link has a region that holds both of its ends. `near` tells of the signatures of two sets of members which pairs
+may link; it never denies a link.
+
+1. Regions of more than `BLOCK` members are dealt into blocks by hash. In each block members are chosen as pivots,
+   those with most open neighbours first, and each pivot takes its open neighbours as its Voronoi cell (`cover`). The
+   pivots of a large region meet in a next round, with at most half as many members.
+2. Pivots are verified with the members of their cells, which gives components.
+3. Regions whose members are in one component are done. In the others, blocks meet in pairs and only pairs between
+   components that the signatures can't part are emitted and verified.
+
+No step sends a pair of members with their signatures: a block's signatures meet in one task of numpy.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import written
+from sievework.llm.common import dropped, written
 from sievework.llm.graph import components
 
-#: After so many rounds a region ends with the pairs of its components' members, whatever their number.
-ROUNDS = 6
+BLOCK, CELLS = 512, 128
+ROWS = "region long, rep long, size long, cells binary"
+#: Signatures and sizes of some members, and of some others: whether each two may link.
+Near = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def once(members: DataFrame) -> DataFrame:
@@ -20,52 +38,129 @@ def once(members: DataFrame) -> DataFrame:
     return same.groupBy("members", "who").agg(F.min("region").alias("region")).select("region", "members")
 
 
-def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+def shared_counts(x: np.ndarray, y: np.ndarray, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over the cells of `of` for each two rows of x and y."""
+    if len(x) * len(y) <= 4096:
+        return of(x[:, None, :], y[None, :, :]).sum(-1, dtype=np.int32)
+    out = np.zeros((len(x), len(y)), np.int32)
+    for c in range(x.shape[1]):
+        out += of(x[:, c, None], y[None, :, c])
+    return out
+
+
+def cover(mask: np.ndarray) -> list[tuple[int, int]]:
+    """(pivot, member): pivots by their open neighbours, each taking these; whoever stays open is tied to a neighbour."""
+    open_ = mask.any(1)
+    live = mask.sum(1)
+    out: list[tuple[int, int]] = []
+    while True:
+        p = int(np.argmax(np.where(open_, live, 0)))
+        if not open_[p] or not live[p]:
+            break
+        near = np.flatnonzero(mask[p] & open_)
+        out += [(p, int(x)) for x in near]
+        gone = np.append(near, p)
+        open_[gone] = False
+        live = live - mask[:, gone].sum(1)
+    return out + [(int(np.argmax(mask[x])), int(x)) for x in np.flatnonzero(open_)]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Rows of each group of the first `keys` columns; rows come sorted by them, groups have some hundreds of rows."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        for a, b in zip(np.r_[0, cut], np.r_[cut, batch.num_rows], strict=True):
+            key = tuple(int(c[a]) for c in columns)
+            if key != last and held:
+                yield last, _joined(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _cells(batch: pa.RecordBatch, at: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(at).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16)
+
+
+def _covers(rows: DataFrame, near: Near) -> DataFrame:
+    """(region, a, b) with pivot a of each member b, for rows with their region's `members`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int, int]] = []
+        for (region, _), part in _groups(batches, 2):
+            rep, size, cells = part.column(2).to_numpy(), part.column(3).to_numpy(), _cells(part, 4)
+            mask = near(cells, size, cells, size)
+            mask &= rep[:, None] != rep[None, :]
+            found += [(region, int(rep[p]), int(rep[x])) for p, x in cover(mask)]
+            if len(found) > 10_000:
+                yield _triples(found)
+                found = []
+        yield _triples(found)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK)).alias("block")
+    dealt = rows.select("region", block, "rep", "size", "cells").repartition(parts, "region", "block").sortWithinPartitions("region", "block")
+    return dealt.mapInArrow(run, "region long, a long, b long")
+
+
+def _triples(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    x = np.array(found, np.int64).reshape(-1, 3)
+    return pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(3)], ["region", "a", "b"])
+
+
+def _between(rows: DataFrame, near: Near) -> DataFrame:
+    """(a, b) of different roots that may link, of rows with `root` and `members`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), part in _groups(batches, 3):
+            rep, size, cells, root, block = part.column(3).to_numpy(), part.column(4).to_numpy(), _cells(part, 5), part.column(6).to_numpy(), part.column(7).to_numpy()
+            x, y = block == i, block == j
+            mask = near(cells[x], size[x], cells[y], size[y]) & (root[x][:, None] != root[y][None, :])
+            a, b = np.nonzero(mask)
+            a, b = rep[x][a], rep[y][b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "size", "cells", "root", "block")
+    found = dealt.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(run, "a long, b long")
+    return found.distinct()
 
-def settle(
-    rows: DataFrame,
-    may_link: Callable[[Column, Column], Column],
-    verify: Callable[[DataFrame], DataFrame],
-    bound: Callable[[Column, Column], Column],
-    radius: float,
-    small: int,
-) -> DataFrame:
-    """(node, root) of the members of regions that links connect. rows: (region, rep, attribute).
 
-    verify: (a, b) to (a, b, distance, linked, exact), distances that aren't exact being lower bounds; bound: such a
-    bound from two attributes. In each round the least open member
-    of a region is its pivot; whoever is not linked to it is open. Members that no open one can be near stay out,
-    and so do regions within one component. Only pairs between components are ever verified.
-    """
-    rows = written(rows.withColumn("open", F.lit(True)), "members")
-    tied, rounds = None, 0
+def connect(rows: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the members that links connect. verify: the pairs (a, b) of those given that link."""
+    rows = written(rows.join(rows.groupBy("region").agg(F.count(F.lit(1)).alias("members")), "region"), "members")
+    current, stars = rows, None
     while True:
-        rounds += 1
-        pivots = rows.groupBy("region").agg(F.min(F.when(F.col("open"), F.struct("rep", "attribute"))).alias("p")).where("p is not null").select("region", F.col("p.rep").alias("pivot"), F.col("p.attribute").alias("pivot_attribute"))
-        star = rows.drop("open").join(pivots, "region").where("rep <> pivot")
-        near = written(verify(written(_pairs(star.where(may_link(F.col("attribute"), F.col("pivot_attribute"))), "pivot", "rep"), "pairs")), "near")
-        new = near.where("linked").select("a", "b")
-        tied = components(new if tied is None else tied.unionByName(new)).toDF("a", "b")
-        star = star.withColumns({"a": F.least("pivot", "rep"), "b": F.greatest("pivot", "rep")}).join(near, ["a", "b"], "left")
-        star = star.withColumns({"exact": F.coalesce("exact", F.lit(False)), "distance": F.coalesce("distance", bound(F.col("attribute"), F.col("pivot_attribute"))), "open": ~F.coalesce("linked", F.lit(False))})
-        star = star.join(tied.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left")
-        star = written(star.select("region", "rep", "attribute", "open", "distance", "exact", F.coalesce("root", "rep").alias("root")), "star")
-        edge = star.groupBy("region").agg(F.min(F.when(F.col("open"), F.col("distance"))).alias("nearest"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("nearest is not null and r1 <> r2").drop("r1", "r2")
-        rest = written(star.join(edge, "region").where(F.col("open") | (F.col("distance") >= F.col("nearest") - radius)).drop("nearest"), "rest")
-        parts = rest.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"))
-        parts = parts.groupBy("region").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("root", "c").alias("largest")).where("m * m > squares")
-        rest = written(rest.join(once(rest).select("region"), "region").join(parts, "region"), "once")
-        ending = (F.col("m") * F.col("m") - F.col("squares") <= 2 * small * F.col("m")) | F.lit(rounds >= ROUNDS)
-        few = rest.where(ending)
-        other = few.select("region", *[F.col(c).alias(f"{c}2") for c in ("rep", "attribute", "distance", "exact", "root")])
-        window = ~(F.col("exact") & F.col("exact2")) | (F.abs(F.col("distance") - F.col("distance2")) <= radius)
-        ends = few.where("root <> largest").join(other, "region").where((F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("largest")) | (F.col("rep") < F.col("rep2"))))
-        ends = written(_pairs(ends.where(may_link(F.col("attribute"), F.col("attribute2")) & window), "rep", "rep2"), "pairs")
-        if not ends.isEmpty():
-            tied = components(tied.unionByName(verify(ends).where("linked").select("a", "b"))).toDF("a", "b")
-        many = rest.where(~ending)
-        if many.isEmpty():
-            return tied.toDF("node", "root")
-        rows = written(many.select("region", "rep", "attribute", "open"), "members")
+        found = written(_covers(current, near), "stars")
+        stars = found if stars is None else stars.unionByName(found)
+        pivots = found.join(current.where(F.col("members") > BLOCK).select("region").distinct(), "region", "left_semi").select("region", F.col("a").alias("rep")).distinct()
+        many = pivots.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        current = written(rows.drop("members").join(pivots, ["region", "rep"], "left_semi").join(many, "region"), "pivots")
+        if current.isEmpty():
+            break
+    pairs = written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = written(verify(pairs), "links")
+    tied = components(links)
+    rooted = rows.join(tied.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    apart = written(rooted, "rooted")
+    several = apart.groupBy("region").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("region")
+    rest = written(_between(apart.join(several, "region"), near).join(pairs, ["a", "b"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return tied
+    more = written(verify(rest), "more")
+    out = components(links.unionByName(more))
+    dropped(rows, current, found, pairs, links, apart, rest, more, tied)
+    return out

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from sievework.llm import bpe_codec, fingerprints, fuzzy_lines, graph, html_text, jaccard_join, packing, passages, quality, sharding, toxicity
+from sievework.llm import bpe_codec, fingerprints, fuzzy_lines, graph, html_text, jaccard_join, packing, passages, quality, regions, sharding, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -167,10 +167,10 @@ def test_fuzzy_lines(spark):
     line = " ".join(rnd.choice(words) for _ in range(40))
     texts = [line + "\nalpha beta", "Alpha, beta 12!\n\n" + line + ".", "--\nother words here", None, "", line.replace(line[:6], line[:5] + "x", 1)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    rows = got(fuzzy_lines._without(df, 32))
-    assert rows[0]["text"] == texts[0] and rows[1]["text"] == "" and rows[2]["text"] == texts[2] and rows[3]["text"] is None
-    assert rows[1]["n_removed"] == 2
-    assert fuzzy_lines._without(df.limit(0), 32).count() == 0
+    rows = got(fuzzy_lines._without(df))
+    assert rows[0]["text"] == texts[0] and rows[1]["text"] == "" and rows[2]["text"] == texts[2] and rows[3]["text"] is None and rows[5]["text"] == ""
+    assert rows[1]["__n_removed"] == 2
+    assert fuzzy_lines._without(df.limit(0)).count() == 0
 
 
 def test_fingerprints(docs, empty):
@@ -197,19 +197,53 @@ def sets():
     return out
 
 
-@pytest.mark.parametrize("small", [0, 48])
-def test_jaccard_join(docs, empty, small):
-    s = sets()
-    root = list(range(len(s)))
-    for i in range(len(s)):
-        for j in range(i):
-            if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j]):
+def near_copies(n=60):
+    """Copies of one text with up to a sixth of its shingles changed: many link only through others, many not at all."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("aeioulnrst") for _ in range(7))
+    base = [word() for _ in range(160)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for j in rnd.sample(range(160), i % 8):
+            copy[j] = word()
+        out.append(" ".join(copy))
+    return out
+
+
+def linked_sets(texts, k, percent):
+    found = []
+    for t in texts:
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(t or "")]
+        found.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+    root = list(range(len(texts)))
+    for i, x in enumerate(found):
+        for j, y in enumerate(found[:i]):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
-    rows = got(jaccard_join.join(docs, small))
+    return found, root
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_jaccard_join(spark, empty, block, monkeypatch):
+    monkeypatch.setattr(regions, "BLOCK", block)
+    texts = [*TEXTS, *near_copies()]
+    s, root = linked_sets(texts, 4, 85)
+    rows = got(jaccard_join.join(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)))
     assert [(rows[i]["n_shingles"], rows[i]["component_id"]) for i in range(len(s))] == [(len(s[i]), root[i]) for i in range(len(s))]
-    if small:
-        assert jaccard_join.join(empty).count() == 0
+    assert len(set(root[len(TEXTS) :])) > 5
+    assert jaccard_join.join(empty).count() == 0
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    rows = [(5, "one two three four five six", 1), (5, "seven eight nine ten eleven twelve", 2), (7, "one two three four five six", 3), (5, "one two three four five six", 4), (None, "x", 5), (9, "", 6), (9, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, first int").withColumns({"tie": F.lit("mine"), "node": F.lit(1)})
+    kept = jaccard_join.keep_one(df, 5, 80)
+    assert kept.columns == df.columns
+    found = kept.collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in found) == [(0, "x"), (5, rows[0][1]), (5, rows[1][1]), (9, ""), (9, "")]
+    assert {r["tie"] for r in found} == {"mine"}
 
 
 def test_components(spark):
@@ -305,24 +339,60 @@ def fuzzy_pairs(n=400):
             yield line, other
 
 
+def line_keys(*texts):
+    data = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    h = fuzzy_lines.hashed(data, np.array([0, len(data)]))
+    assert len(h["id"]) == len(texts) and h["chars"].tolist() == [len(t) for t in texts]
+    owner, key = fuzzy_lines.keys(h["blocks"], h["counts"], h["chars"], list(texts), h["runs"])
+    return [set(key[owner == i].tolist()) for i in range(len(texts))]
+
+
 def test_fuzzy_keys_meet():
+    """Short lines always meet; long ones with up to a tenth of their characters edited nearly always."""
     short, met = 0, []
     for line, other in fuzzy_pairs():
-        owner, key = fuzzy_lines.keys([line, other])
-        meet = bool(set(key[owner == 0]) & set(key[owner == 1]))
+        x, y = line_keys(line, other)
         if max(len(line), len(other)) < fuzzy_lines.SHORT:
             short += 1
-            assert meet, (line, other)
+            assert x & y, (line, other)
         else:
-            met.append(meet)
-    assert short > 20 and np.mean(met) > 0.97
-    x, y = zip(*fuzzy_pairs(100), strict=True)
-    assert all(low <= edits(a, b) for a, b, low in zip(x, y, fuzzy_lines._least_edits(list(x), list(y)), strict=True))
-
-
-@pytest.mark.parametrize("small", [0, 32])
-def test_fuzzy_lines_of_few_and_many_words(spark, small):
-    pairs = [p for p in fuzzy_pairs(60) if max(map(len, p)) < 60 or edits(*p) <= 3]
+            met.append(bool(x & y))
+    assert short > 5 and np.mean(met) > 0.95
+    x, y = (list(t) for t in zip(*fuzzy_pairs(100), strict=True))
+    n, m = (np.array([len(t) for t in ts]) for ts in (x, y))
+    assert fuzzy_lines.near(fuzzy_lines.signature(x).astype(np.int16), n, fuzzy_lines.signature(y).astype(np.int16), m).diagonal().all()
+
+
+@pytest.mark.parametrize("words", [5, 8, 13, 25, 50])
+def test_fuzzy_lines_with_one_changed_letter_meet(words):
+    rnd = random.Random(words)
+    met = []
+    for _ in range(200):
+        line = [("".join(rnd.choice("aeiourstlndm") for _ in range(rnd.randint(3, 9)))) for _ in range(words)]
+        i = rnd.randrange(words)
+        other = [*line[:i], "x" + line[i][1:], *line[i + 1 :]]
+        x, y = line_keys(" ".join(line), " ".join(other))
+        met.append(bool(x & y))
+    assert np.mean(met) >= 0.99
+
+
+def test_edits_by_diagonals():
+    rnd = random.Random(31)
+    for _ in range(150):
+        x = "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 30)))
+        y = edited(rnd, x, rnd.randint(0, 8)) if len(x) > 3 else "".join(rnd.choice("ab") for _ in range(4))
+        d = edits(x, y)
+        assert [fuzzy_lines.within(x, y, most) for most in range(d + 2)] == [most >= d for most in range(d + 2)]
+        a, b = fuzzy_lines.trimmed(x, y)
+        assert edits(a, b) == d
+    long_ = "".join(rnd.choice("abcdefgh ") for _ in range(200_000))
+    assert fuzzy_lines.within(long_, long_[:70_000] + "x" + long_[70_001:150_000] + long_[150_003:], 20)
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_fuzzy_lines_of_few_and_many_words(spark, block, monkeypatch):
+    monkeypatch.setattr(regions, "BLOCK", block)
+    pairs = [p for p in fuzzy_pairs(60) if max(map(len, p)) < 30 or edits(*p) <= 2]
     texts = [t for p in pairs for t in p]
     root = list(range(len(texts)))
     for i in range(len(texts)):
@@ -331,11 +401,22 @@ def test_fuzzy_lines_of_few_and_many_words(spark, small):
             if abs(len(texts[i]) - len(texts[j])) <= m // 10 and edits(texts[i], texts[j]) <= m // 10:
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
+    assert len(pairs) > 15
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    rows = got(fuzzy_lines._without(df, small))
+    rows = got(fuzzy_lines._without(df))
     assert [rows[i]["text"] for i in range(len(texts))] == [t if root[i] == i else "" for i, t in enumerate(texts)]
 
 
+def test_fuzzy_lines_of_rows_that_share_an_id(spark):
+    texts = [(1, "same line of several words here\nfirst tail"), (2, "own line that nobody else has\nsame line of several words here"), (2, "keep me unique\nthis is unique too delta"), (None, "a line under no id at all"), (2, None)]
+    df = spark.createDataFrame([(i, t, 7, "x", "y") for i, t in texts], "doc_id long, text string, n_removed int, gone string, tie string")
+    out = fuzzy_lines.remove(df)
+    assert out.columns == df.columns
+    found = sorted(((r["doc_id"] or 0, r["text"] or "") for r in out.collect()))
+    assert found == sorted([(1, texts[0][1]), (2, "own line that nobody else has"), (2, texts[2][1]), (0, texts[3][1]), (2, "")])
+    assert {(r["n_removed"], r["gone"], r["tie"]) for r in out.collect()} == {(7, "x", "y")}
+
+
 def test_near_duplicates_of_the_pipeline(spark):
     import corpus_pipeline
 
