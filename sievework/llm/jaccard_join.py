@@ -31,12 +31,16 @@ from pyspark.sql import functions as F
 
 from sievework.llm.bloom import bloom, known, mix
 from sievework.llm.common import dropped, table, utf8_batches, written
-from sievework.llm.regions import CELLS, ROWS, connect, once, shared_counts
+from sievework.llm.graph import components
+from sievework.llm.regions import CELLS, ROWS, connect, groups, once, shared_counts
 
 K, PERCENT = 4, 85
 BATCH = 1_000_000
+TOGETHER = 1_000_000
 #: A cell counts so far; a set with a full cell has no bound.
 MOST_CELL = 255
+#: Sets of more shingles are compared by so many cells before they travel whole.
+LARGE, WIDE = 800, 4096
 #: The order of shingles puts these last: seen in a batch by so many texts, so often in all, at most so many.
 HOT_IN_BATCH, HOT_IN_ALL, HOT_MOST = 3, 60, 200_000
 
@@ -168,10 +172,9 @@ def near(percent: int):
     return of
 
 
-def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link, by whole sets of one document of each."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "rep"), "node"), "asked")
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids.select("rep")))
+def _of_nodes(docs: DataFrame, nodes: DataFrame, k: int, kind: str, make) -> DataFrame:
+    """(node, value) of nodes (node, rep): `make` of the shingles of one document of each."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(nodes.select("rep")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -180,25 +183,98 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
             for part, data, offsets in utf8_batches(iter([asked]), "text", BATCH):
                 owner, key = shingles(data, offsets, k)
                 n = np.bincount(owner, minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(_set_hash(owner, key, part.num_rows)), pa.array(n), _lists(key, n)], ["set_hash", "n", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(_set_hash(owner, key, part.num_rows)), pa.array(n), make(owner, key, n)], ["set_hash", "n", "value"])
 
-    read = _keyed(docs).where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "set_hash long, n long, set array<long>")
+    read = _keyed(docs).where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"set_hash long, n long, value {kind}")
     # rows that share a doc_id with the one asked for go here
-    sets = read.select(F.xxhash64("set_hash", "n").alias("node"), "set").join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = written(sets, "sets")
-    left = pairs.join(sets.toDF("a", "x"), "a")
-    both = left.join(sets.toDF("b", "y"), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    found = written(both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b"), "linked")
-    dropped(ids, sets)
+    return read.select(F.xxhash64("set_hash", "n").alias("node"), "value").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _wide(owner: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.Array:
+    cells = np.bincount(owner * WIDE + (key.view(np.uint64) >> np.uint64(52)).astype(np.int64), minlength=len(n) * WIDE)
+    return pa.array([c.tobytes() for c in np.minimum(cells, MOST_CELL).astype(np.uint8).reshape(-1, WIDE)], pa.binary())
+
+
+def _perhaps(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with sizes n and m that counts in `WIDE` cells leave possible, for sets that are large for fewer."""
+    nodes = written(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("rep")), F.struct(F.col("b").alias("node"), F.col("rb").alias("rep")))).alias("x")).select("x.*").distinct(), "long_nodes")
+    wide = written(_of_nodes(docs, nodes, k, "binary", _wide), "wide")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 500):
+                part = batch.slice(s, 500)
+                n, m = part.column(2).to_numpy(), part.column(3).to_numpy()
+                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, WIDE) for i in (4, 5))
+                full = (x == MOST_CELL).any(1) | (y == MOST_CELL).any(1)
+                same = np.where(full, np.minimum(n, m), np.minimum(x, y).sum(1, dtype=np.int64))
+                left = pa.array(100 * same >= percent * (n + m - same))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(left), part.column(1).filter(left)], ["a", "b"])
+
+    both = pairs.select("a", "b", "n", "m").join(wide.toDF("a", "x"), "a").join(wide.toDF("b", "y"), "b")
+    found = written(both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long"), "possible")
+    dropped(nodes, wide)
     return found
 
 
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets link, by whole sets of one document of each."""
+    of = classes.select("node", "rep", "n")
+    sized = written(pairs.select("a", "b").join(of.toDF("a", "ra", "n"), "a").join(of.toDF("b", "rb", "m"), "b"), "sized")
+    large = F.greatest("n", "m") > LARGE
+    pairs = written(sized.where(~large).select("a", "b").unionByName(_perhaps(docs, sized.where(large), k, percent)), "left")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(of, "node"), "asked")
+    sets = written(_of_nodes(docs, ids, k, "array<long>", lambda owner, key, n: _lists(key, n)), "sets")
+    found = written(_compared(pairs, ids.select("node", "n"), sets.toDF("node", "set"), percent), "linked")
+    dropped(sized, ids, sets)
+    return found
+
+
+def _compared(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link. Sets that pairs connect meet in blocks of about `TOGETHER` shingles, once in a pair of blocks."""
+    root = components(pairs)
+    of = written(sizes.join(root, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group")), "groups")
+    blocks = of.groupBy("group").agg(F.ceil(F.sum("n") / TOGETHER).cast("long").alias("blocks"))
+    of = of.join(blocks, "group").select("node", "group", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    both = pairs.join(of.toDF("a", "group", "i"), "a").join(of.toDF("b", "same", "j"), "b")
+    dealt = written(both.select("group", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", "b"), "dealt")
+    wanted = dealt.select("group", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    rows = wanted.select("group", "i", "j", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    rows = rows.unionByName(dealt.withColumn("set", F.lit(None).cast("array<long>")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in groups(batches, 3):
+            has = part.column(4).is_null().to_numpy(zero_copy_only=False)
+            held, asked = part.filter(pa.array(has)), part.filter(pa.array(~has))
+            nodes = held.column(3).to_numpy()
+            order = np.argsort(nodes)
+            size = np.asarray(held.column(5).value_lengths()).astype(np.int64)
+            begin = np.cumsum(size) - size
+            kinds, local = np.unique(held.column(5).flatten().to_numpy(), return_inverse=True)
+            a, b = (order[np.searchsorted(nodes[order], asked.column(c).to_numpy())] for c in (3, 4))
+            by = np.argsort(a, kind="stable")
+            a, b = a[by], b[by]
+            mark = np.zeros(len(kinds), bool)
+            same = np.zeros(len(a), np.int64)
+            for x in np.unique(a):
+                own = local[begin[x] : begin[x] + size[x]]
+                mark[own] = True
+                low, high = np.searchsorted(a, x), np.searchsorted(a, x, side="right")
+                same[low:high] = [np.count_nonzero(mark[local[begin[y] : begin[y] + size[y]]]) for y in b[low:high]]
+                mark[own] = False
+            linked = 100 * same >= percent * (size[a] + size[b] - same)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a[linked]]), pa.array(nodes[b[linked]])], ["a", "b"])
+
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("group", "i", "j", "a", "b", "set").repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def roots(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of the classes that links connect."""
     region = classes.where("n > 1").select("node", "n", "prefix", "cells")
-    several = written(once(region.select(F.explode("prefix").alias("region"), F.col("node").alias("rep"))).select("region"), "regions")
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(several))
+    several = written(once(region.select(F.explode("prefix").alias("region"), F.col("node").alias("rep"))), "regions")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(several.select("region")))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -212,7 +288,7 @@ def roots(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
                 rows = pa.array(row[hit])
                 yield pa.RecordBatch.from_arrays([pa.array(key[hit]), *[part.column(i).take(rows) for i in (0, 1, 3)]], ["region", "rep", "size", "cells"])
 
-    rows = region.mapInArrow(explode, ROWS).join(several, "region")
+    rows = region.mapInArrow(explode, ROWS).join(several.select("region", "members"), "region")
     return connect(rows, near(percent), lambda pairs: _linked(docs, classes, pairs, k, percent))
 
 

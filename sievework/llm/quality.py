@@ -285,8 +285,11 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, as they are. Each is measured twice rather than shuffled with its text."""
     turns = models(docs)
     slim = written(_measure_all(docs.select("text", "lang"), turns).select("lang", "cost", "base_failed"), "quality")
-    rows = _measure_all(docs, turns).withColumn("__lang", F.coalesce("lang", F.lit("")))
-    return rows.join(bands(slim, sum(map(len, turns))), "__lang", "left").where(_kept(F.col("word_chars"))).select(*docs.columns)
+    # columns of the input that are named as the measures are set aside and carried
+    clash = {c: f"__own_{c}" for c in docs.columns if c in {*_FEATURES, "base_failed", "cost"}}
+    rows = _measure_all(docs.withColumnsRenamed(clash), turns).withColumn("__lang", F.coalesce("lang", F.lit("")))
+    kept = rows.join(bands(slim, sum(map(len, turns))), "__lang", "left").where(_kept(F.col("word_chars")))
+    return kept.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

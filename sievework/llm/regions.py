@@ -65,7 +65,7 @@ def cover(mask: np.ndarray) -> list[tuple[int, int]]:
     return out + [(int(np.argmax(mask[x])), int(x)) for x in np.flatnonzero(open_)]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Rows of each group of the first `keys` columns; rows come sorted by them, groups have some hundreds of rows."""
     held: list[pa.RecordBatch] = []
     last: tuple | None = None
@@ -93,12 +93,16 @@ def _cells(batch: pa.RecordBatch, at: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(at).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16)
 
 
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _covers(rows: DataFrame, near: Near) -> DataFrame:
     """(region, a, b) with pivot a of each member b, for rows with their region's `members`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int, int]] = []
-        for (region, _), part in _groups(batches, 2):
+        for (region, _), part in groups(batches, 2):
             rep, size, cells = part.column(2).to_numpy(), part.column(3).to_numpy(), _cells(part, 4)
             mask = near(cells, size, cells, size)
             mask &= rep[:, None] != rep[None, :]
@@ -123,44 +127,51 @@ def _between(rows: DataFrame, near: Near) -> DataFrame:
     """(a, b) of different roots that may link, of rows with `root` and `members`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), part in _groups(batches, 3):
+        for (_, i, j), part in groups(batches, 3):
             rep, size, cells, root, block = part.column(3).to_numpy(), part.column(4).to_numpy(), _cells(part, 5), part.column(6).to_numpy(), part.column(7).to_numpy()
             x, y = block == i, block == j
             mask = near(cells[x], size[x], cells[y], size[y]) & (root[x][:, None] != root[y][None, :])
             a, b = np.nonzero(mask)
-            a, b = rep[x][a], rep[y][b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            yield pa.RecordBatch.from_arrays([pa.array(rep[x][a]), pa.array(rep[y][b])], ["a", "b"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("long")
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "size", "cells", "root", "block")
-    found = dealt.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(run, "a long, b long")
-    return found.distinct()
+    return dealt.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def connect(rows: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of the members that links connect. verify: the pairs (a, b) of those given that link."""
-    rows = written(rows.join(rows.groupBy("region").agg(F.count(F.lit(1)).alias("members")), "region"), "members")
+    """(node, root) of the members that links connect. rows have their region's number of `members`.
+
+    verify: the pairs (a, b) of those given that link.
+    """
+    rows = written(rows.select("region", "rep", "size", "cells", "members"), "members")
     current, stars = rows, None
     while True:
         found = written(_covers(current, near), "stars")
         stars = found if stars is None else stars.unionByName(found)
-        pivots = found.join(current.where(F.col("members") > BLOCK).select("region").distinct(), "region", "left_semi").select("region", F.col("a").alias("rep")).distinct()
+        large = current.where(F.col("members") > BLOCK)
+        pivots = found.join(large.select("region").distinct(), "region", "left_semi").select("region", F.col("a").alias("rep")).distinct()
         many = pivots.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        current = written(rows.drop("members").join(pivots, ["region", "rep"], "left_semi").join(many, "region"), "pivots")
+        current = written(large.drop("members").join(pivots, ["region", "rep"], "left_semi").join(many, "region"), "pivots")
         if current.isEmpty():
             break
-    pairs = written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = written(_pairs(stars), "pairs")
     links = written(verify(pairs), "links")
     tied = components(links)
-    rooted = rows.join(tied.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    apart = written(rooted, "rooted")
-    several = apart.groupBy("region").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("region")
-    rest = written(_between(apart.join(several, "region"), near).join(pairs, ["a", "b"], "left_anti"), "rest")
+    tied = tied.withColumnRenamed("node", "rep")
+    root = F.coalesce("root", "rep").alias("root")
+    of = rows.select("region", "rep").join(tied, "rep", "left").select("region", root)
+    several = of.groupBy("region").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("region")
+    apart = rows.join(several, "region").join(tied, "rep", "left").select("region", "rep", "size", "cells", "members", root)
+    rest = written(_pairs(_between(apart, near)).join(pairs, ["a", "b"], "left_anti"), "rest")
+    dropped(rows, current, found, pairs)
     if rest.isEmpty():
-        return tied
+        return tied.withColumnRenamed("rep", "node")
     more = written(verify(rest), "more")
     out = components(links.unionByName(more))
-    dropped(rows, current, found, pairs, links, apart, rest, more, tied)
+    dropped(links, rest, more)
     return out

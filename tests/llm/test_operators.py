@@ -343,7 +343,7 @@ def line_keys(*texts):
     data = np.frombuffer("\n".join(texts).encode(), np.uint8)
     h = fuzzy_lines.hashed(data, np.array([0, len(data)]))
     assert len(h["id"]) == len(texts) and h["chars"].tolist() == [len(t) for t in texts]
-    owner, key = fuzzy_lines.keys(h["blocks"], h["counts"], h["chars"], list(texts), h["runs"])
+    owner, key = fuzzy_lines.keys(h["blocks"], h["counts"], h["chars"], list(texts), h["rest"])
     return [set(key[owner == i].tolist()) for i in range(len(texts))]
 
 
@@ -455,3 +455,35 @@ def test_html_without_end_tags(before):
     assert html_text.extract(page, tree) == "Title of it\n\nFirst paragraph of the text.\n\nSecond one here, long enough."
     assert html_text.extract(page.replace("<body>", ""), tree) == html_text.extract(page, tree)
     assert html_text.extract("<article><p>Some text that stays here.<script>var x = '<p>no</p>'", tree) == "Some text that stays here."
+
+
+def test_pipeline_keeps_clashing_columns_and_clean_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(77)
+    words = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 9))) for _ in range(600)]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    texts = [say(60) + "\n" + say(50) for _ in range(40)]
+    passage = say(70)
+    texts += [texts[0], texts[1].replace("e", "o", 1), say(40) + " " + passage + " " + say(40), say(45) + " " + passage + " " + say(30), "too short", "", None]
+    mine = {"n_words": 777, "cost": 0.5, "n_removed": 5, "gone": "x", "found": "y", "tie": 3, "node": 4, "base_failed": True}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({k: F.lit(v) for k, v in mine.items()})
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        path = str(tmp_path / f"{n}-{name}")
+        stage(spark, docs, "").write.parquet(path)
+        after = spark.read.parquet(path)
+        assert after.columns == docs.columns, name
+        assert {tuple(r[k] for k in mine) for r in after.collect()} == {tuple(mine.values())}, name
+        docs = after
+    left = got(docs)
+    # of the copy and the near copy nothing is left, clean documents stand as they were, the passage goes from both
+    assert 40 not in left and 41 not in left and not {44, 45, 46} & set(left)
+    assert all(left[i]["text"] == texts[i] for i in range(2, 40) if i in left) and len(left) > 35
+    assert all(passage[20:-20] not in left[i]["text"] for i in (42, 43) if i in left)
+    docs.limit(0).write.parquet(str(tmp_path / "none"))
+    none = spark.read.parquet(str(tmp_path / "none"))
+    assert all(stage(spark, none, "").count() == 0 for _, stage in corpus_pipeline.STAGES)
+    (tmp_path / "sf").mkdir()
+    docs.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "sf")).count() >= len(left)
