@@ -348,16 +348,16 @@ def line_keys(*texts):
 
 
 def test_fuzzy_keys_meet():
-    """Short lines always meet; long ones with up to a tenth of their characters edited nearly always."""
-    short, met = 0, []
+    """Short lines always meet, and others with up to two changed words; with more changes recall falls (README)."""
+    short, few, more = 0, [], []
     for line, other in fuzzy_pairs():
         x, y = line_keys(line, other)
         if max(len(line), len(other)) < fuzzy_lines.SHORT:
             short += 1
             assert x & y, (line, other)
         else:
-            met.append(bool(x & y))
-    assert short > 5 and np.mean(met) > 0.95
+            (few if edits(line, other) <= 2 else more).append(bool(x & y))
+    assert short > 5 and len(few) > 20 and np.mean(few) >= 0.98 and np.mean(more) > 0.25
     x, y = (list(t) for t in zip(*fuzzy_pairs(100), strict=True))
     n, m = (np.array([len(t) for t in ts]) for ts in (x, y))
     assert fuzzy_lines.near(fuzzy_lines.signature(x).astype(np.int16), n, fuzzy_lines.signature(y).astype(np.int16), m).diagonal().all()
