@@ -93,16 +93,17 @@ def profiles(train: DataFrame, vectors: DataFrame) -> DataFrame:
     return mean.groupBy("user_id").agg(l2(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])).alias("profile"))
 
 
-def minmax(c: Column, over: Window | None = None) -> Column:
-    """To [0, 1]; constants become 0."""
-    w = over or Window.partitionBy()
-    low, high = F.min(c).over(w), F.max(c).over(w)
+def minmax(c: Column, over: Window) -> Column:
+    """To [0, 1] within a group; constants become 0."""
+    low, high = F.min(c).over(over), F.max(c).over(over)
     return F.when(high > low, (c - low) / (high - low)).otherwise(0.0)
 
 
 def blend(content: DataFrame, pop: DataFrame, alpha: float) -> DataFrame:
     """alpha * min-max of content by user + (1 - alpha) * min-max of log(1 + popularity)."""
-    p = pop.select("item_id", minmax(F.log1p("score")).alias("p"))
+    log = pop.select("item_id", F.log1p("score").alias("l"))
+    ends = F.broadcast(log.agg(F.min("l").alias("low"), F.max("l").alias("high")))  # one row
+    p = log.join(ends).select("item_id", F.when(F.col("high") > F.col("low"), (F.col("l") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0).alias("p"))
     c = content.select("user_id", "item_id", minmax(F.col("score"), Window.partitionBy("user_id")).alias("c"))
     return c.join(p, "item_id").select("user_id", "item_id", (alpha * F.col("c") + (1 - alpha) * F.col("p")).alias("score"))
 

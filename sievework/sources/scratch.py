@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a table in `spark.checkpoint.dir`; a temporary folder only where that is unset."""
+    """The same rows, read from a table in `spark.checkpoint.dir`; a temporary folder only in a local session."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/{name}-{uuid.uuid4().hex}"
