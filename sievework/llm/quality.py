@@ -1,22 +1,27 @@
 """Operator 3: quality rules with n-gram perplexity bands for each language.
 
-The model is a modified Kneser-Ney model of order 4 over folded characters (32 classes: letters without case
-or accents, accented letters, other letters, digits, white space, common and other signs), one for each
-language. Spark counts the n-grams of all documents; the driver turns a language's counts, at most 32**4 of
-them by construction, into sorted hash arrays of log probabilities and back-off weights, and a task expands
-those of the languages that it meets. Languages are scored in turns whose arrays stay under `TURN` entries, so
-what is broadcast has a bound that doesn't grow with the data.
-
-A document is rejected if a base rule fails, or if its mean negative log probability lies outside its
-language's band: median -/+ (WIDTH * MAD + SHORT / sqrt(characters)), over the language's documents that pass
-the base rules. Nulls: a null text has no words (base rule fails), a null language is a language of its own.
-Ties and repeated rows are each judged alone. An empty table gives an empty result.
+The model is a modified Kneser-Ney model of order 5 over the code points of the texts as they are, one for each
+language. Spark counts the n-grams of all documents, derives the lower orders, discounts and back-off weights by
+grouping and joins, and gives each distinct n-gram its cost. So that a text isn't judged by what it alone taught, a
+count is that of all occurrences less the mean number in a document that has the n-gram; n-grams of one document
+count nothing and are scored by backing off.
+
+Scoring looks n-grams up by binary search in a sorted array of hashes. That array is broadcast with at most `TURN`
+entries, the most frequent ones; n-grams beyond it, all of them rarer, are joined with the cost table by shuffle, so
+the model has no bound and memory has one.
+
+A document is rejected if a base rule fails, or if its mean negative log probability lies outside its language's
+band: median -/+ (WIDTH * MAD + SHORT / sqrt(characters)), over the language's documents that pass the base rules.
+Nulls: a null text has no words (base rule fails), null languages are one language with the empty name. A text of
+under five code points has no n-gram and no perplexity. Ties and repeated rows are each judged alone. An empty table
+gives an empty result. Columns of the input that are named as the measures are carried as they are.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +31,11 @@ from pyspark.sql import types as T
 
 from sievework.llm.common import table, texts_of, written
 
-CLASSES, ORDER = 32, 4
-GRAMS = CLASSES**ORDER
+ORDER = 5
 WIDTH, SHORT, FLOOR = 4.0, 1.25, 0.01
-TURN = 8_000_000
-#: So many languages' bands are broadcast.
+#: Entries of the model that are broadcast (12 bytes each).
+TURN = 4_000_000
+#: So many languages' bands and discounts are broadcast.
 FEW = 10_000
 BATCH = 4_000_000
 SYMBOLS = "#*$%&|<>"
@@ -40,121 +45,148 @@ WINDOW = 8
 _FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _fold() -> np.ndarray:
-    """The class of each code point below 0x3000; those above count as other letters."""
-    out = np.full(0x3001, 28, np.uint8)
-    for cp in range(0x3000):
-        ch = chr(cp)
-        kind, base = unicodedata.category(ch)[0], unicodedata.normalize("NFD", ch)[0].lower()
-        if ch.isspace():
-            out[cp] = 26
-        elif kind == "L":
-            out[cp] = ord(base) - 97 if "a" <= ch.lower() <= "z" else 27 if "a" <= base <= "z" else 28
-        elif kind == "N":
-            out[cp] = 29
-        else:
-            out[cp] = 30 if ch in ".,;:'\"-()?" else 31
-    return out
-
-
-_CLASS = _fold()
+def _seed(lang: str) -> int:
+    return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of the n-grams inside each text, one text after the other, and how many each text has."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = _CLASS[np.minimum(points, 0x3000)].astype(np.int32)
-    if len(c) < ORDER:
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    k = c[: len(c) - ORDER + 1].copy()
-    for j in range(1, ORDER):
-        k = k * CLASSES + c[j : len(c) - ORDER + 1 + j]
-    inside = np.ones(len(k), bool)
-    for end in np.cumsum(sizes)[:-1]:
-        inside[max(0, end - ORDER + 1) : end] = False
-    return k[inside], np.maximum(sizes - ORDER + 1, 0)
+def _grams(texts: list[str], langs: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts; hash, start in them and text number of each n-gram inside a text."""
+    whole = "".join(texts)
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) < ORDER:
+        return whole, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    starts = np.flatnonzero(doc[: len(doc) - ORDER + 1] == doc[ORDER - 1 :])
+    key = np.zeros(len(points) - ORDER + 1, np.uint64)
+    for j in range(ORDER):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + points[j : len(key) + j]
+    doc = doc[starts]
+    seeds = {x: _seed(x) for x in set(langs)}
+    key = key[starts] ^ np.array([seeds[x] for x in langs], np.uint64)[doc]
+    key = (key ^ (key >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return whole, key ^ (key >> np.uint64(29)), starts, doc
 
 
-def _by_language(part: pa.RecordBatch, texts: list[str]) -> Iterator[tuple[str, np.ndarray, list[str]]]:
-    langs = np.array([x or "" for x in part.column(part.schema.get_field_index("lang")).to_pylist()], object)
-    for lang in sorted(set(langs)):
-        at = np.flatnonzero(langs == lang)
-        yield lang, at, [texts[i] for i in at]
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Rows with their texts, about BATCH characters at a time."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[str]]]:
+    """Rows with their texts and languages, about BATCH characters at a time."""
     for batch in batches:
-        texts = texts_of(batch)
+        texts, langs = texts_of(batch), texts_of(batch, "lang")
         start = size = 0
         for i, t in enumerate(texts):
             size += len(t)
             if size >= BATCH or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
+                yield batch.slice(start, i + 1 - start), texts[start : i + 1], langs[start : i + 1]
                 start, size = i + 1, 0
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, np.ndarray] = {}
-    for part, texts in _parts(batches):
-        for lang, _, some in _by_language(part, texts):
-            keys, _ = _grams(some)
-            if lang not in total:
-                if len(total) == 8:  # many languages in one task: hand over what there is
-                    yield from _counted(total)
-                    total.clear()
-                total[lang] = np.zeros(GRAMS, np.int64)
-            total[lang] += np.bincount(keys, minlength=GRAMS)
-    yield from _counted(total)
-
-
-def _counted(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for lang, counts in total.items():
-        at = np.flatnonzero(counts)
-        for s in range(0, len(at), 100_000):
-            some = at[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(counts[some])], ["lang", "gram", "n"])
+    for _, texts, langs in _parts(batches):
+        whole, key, starts, doc = _grams(texts, langs)
+        if not len(key):
+            continue
+        order = np.argsort(key, kind="stable")  # texts stay in order for each n-gram
+        k, d = key[order], doc[order]
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        held = np.add.reduceat(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])].astype(np.int64), first)
+        n = np.diff(np.r_[first, len(k)])
+        for s in range(0, len(first), 100_000):
+            at = order[first[s : s + 100_000]]
+            names = pa.array([langs[i] for i in doc[at].tolist()], pa.string())
+            grams = pa.array([whole[i : i + ORDER] for i in starts[at].tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([names, grams, pa.array(n[s : s + 100_000]), pa.array(held[s : s + 100_000])], ["lang", "gram", "n", "docs"])
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all documents."""
-    return docs.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    """lang, gram, n (occurrences), docs (documents that have it) over all documents."""
+    found = docs.select("lang", "text").mapInArrow(_count, "lang string, gram string, n long, docs long")
+    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
 
+def _left(order: int) -> Column:
+    return F.substring("gram", 1, order - 1)
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (max(1, int((counts == i).sum())) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0, [0, 1, 2, 3])
 
+def _right(order: int) -> Column:
+    return F.substring("gram", 2, order - 1)
 
-def kneser_ney(grams: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order: sorted n-grams, their discounted shares, sorted contexts, their back-off weights."""
-    counts = np.zeros(GRAMS)
-    counts[grams] = n
-    orders = []
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """lang and the modified Kneser-Ney discounts __d1, __d2, __d3 for counts of 1, 2 and 3 or more."""
+    some = counts.groupBy("lang").agg(*[F.greatest(F.lit(1), F.count(F.when(F.col("c") == i, 1))).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    y = F.expr("n1 / (n1 + 2 * n2)")
+    raw = {"__d1": 1 - 2 * y * F.expr("n2 / n1"), "__d2": 2 - 3 * y * F.expr("n3 / n2"), "__d3": 3 - 4 * y * F.expr("n4 / n3")}
+    return some.select("lang", *[F.least(F.greatest(v, F.lit(0.0)), F.lit(float(i))).alias(k) for i, (k, v) in enumerate(raw.items(), 1)])
+
+
+def costs(counted: DataFrame, few: bool = True) -> DataFrame:
+    """lang, gram, n, cost (negative log probability of the last code point after the others) of counted n-grams."""
+    small = F.broadcast if few else lambda df: df
+    counts = counted.select("lang", "gram", F.floor(F.col("n") * (F.col("docs") - 1) / F.col("docs")).alias("c")).where("c > 0")
+    asked, levels = counted.select("lang", "gram"), []
     for order in range(ORDER, 0, -1):
-        rows = counts.reshape(-1, CLASSES)
-        off = _discounts(counts)[np.minimum(rows, 3).astype(int)]
-        totals = rows.sum(1)
-        seen, contexts = np.flatnonzero(counts), np.flatnonzero(totals)
-        share = ((rows - off) / np.where(totals > 0, totals, 1)[:, None]).reshape(-1)[seen]
-        orders.append((seen.astype(np.int32), share.astype(np.float32), contexts.astype(np.int32), (off.sum(1)[contexts] / totals[contexts]).astype(np.float32)))
-        # below the highest order a gram counts by how many classes stand before it
-        counts = (counts.reshape(CLASSES, -1) > 0).sum(0).astype(float)
-    return orders[::-1]
-
-
-def expand(orders: list) -> np.ndarray:
-    """Log probability of every possible n-gram of the highest order."""
-    p = np.full(CLASSES, 1 / CLASSES, np.float32)
-    for order, (seen, share, contexts, weight) in enumerate(orders, 1):
-        back = np.ones(CLASSES ** (order - 1), np.float32)
-        back[contexts] = weight
-        p = np.repeat(back, CLASSES) * (p if order == 1 else np.tile(p, CLASSES))
-        p[seen] += share
-    return np.log(np.maximum(p, 1e-12))
+        d = counts.join(small(_discounts(counts)), "lang")
+        off = F.when(F.col("c") == 1, F.col("__d1")).when(F.col("c") == 2, F.col("__d2")).otherwise(F.col("__d3"))
+        d = d.select("lang", "gram", _left(order).alias("context"), "c", off.alias("off"))
+        contexts = d.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("weight"))
+        levels.append((order, asked, d.select("lang", "gram", (F.col("c") - F.col("off")).alias("rest")), contexts))
+        # below the highest order an n-gram counts by how many code points stand before it
+        counts = counts.groupBy("lang", _right(order).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+        asked = asked.select("lang", _right(order).alias("gram")).distinct()
+    p = None
+    for order, asked, rest, contexts in reversed(levels):
+        if p is None:  # one share for each known code point and one for all others
+            known = rest.groupBy("lang").agg(F.count(F.lit(1)).alias("known"))
+            lower = asked.select("lang").distinct().join(small(known), "lang", "left").select("lang", (1 / (1 + F.coalesce("known", F.lit(0)))).alias("lower"))
+            p = asked.join(small(lower), "lang")
+        else:
+            p = asked.withColumn("__low", _right(order)).join(p.select("lang", F.col("gram").alias("__low"), F.col("p").alias("lower")), ["lang", "__low"]).drop("__low")
+        p = (
+            p.withColumn("context", _left(order)).join(contexts, ["lang", "context"], "left").join(rest, ["lang", "gram"], "left")
+            .select("lang", "gram", (F.coalesce(F.col("rest") / F.col("total"), F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("lower")).alias("p"))
+        )
+    # equal probabilities whose sums were taken in another order stay equal
+    return counted.join(p, ["lang", "gram"]).select("lang", "gram", "n", F.round(-F.log(F.greatest("p", F.lit(1e-12))), 6).alias("cost"))
+
+
+class Model(NamedTuple):
+    keys: np.ndarray  # sorted hashes of the most frequent n-grams
+    costs: np.ndarray
+    rare: DataFrame | None  # lang, gram, cost of all others
+    languages: int
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grams, langs = texts_of(batch, "gram"), texts_of(batch, "lang")
+        yield pa.RecordBatch.from_arrays([pa.array(_grams(grams, langs)[1].view(np.int64)), batch.column(batch.schema.get_field_index("cost"))], ["key", "cost"])
+
+
+def model(docs: DataFrame) -> Model:
+    counted = written(count_grams(docs), "grams")
+    languages = counted.select("lang").distinct().count()
+    table_ = written(costs(counted, languages <= FEW), "costs")
+    # the least count whose n-grams and all more frequent ones fit; counts are told apart by their leading bits
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    least, held, total = None, 0, 0
+    for r in table_.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        total += r["count"]
+        if total <= TURN:
+            least, held = r["level"], total
+    often = table_.where(level >= (least if least is not None else 2**30)).select("lang", "gram", "cost")
+    got = often.mapInArrow(_keyed, "key long, cost double").toPandas() if held else None
+    keys = got["key"].to_numpy(np.int64).view(np.uint64) if held else np.zeros(0, np.uint64)
+    order = np.argsort(keys)
+    values = (got["cost"].to_numpy()[order] if held else np.zeros(0)).astype(np.float32)
+    rare = table_.where(level < least if least is not None else F.lit(True)).select("lang", "gram", "cost") if held < total else None
+    return Model(keys[order], values, rare, languages)
+
+
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes in the sorted ones, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
 
 
 def features(texts: list[str]) -> list[np.ndarray]:
@@ -196,65 +228,48 @@ def base_failed(n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
     return (n_words < 20) | (100 * n_repeat > 30 * n_words)
 
 
-def measured(docs: DataFrame, models: dict[str, list]) -> DataFrame:
-    """The rows of `docs` in the languages of `models`, whole, with the features, base_failed and `cost`."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models)
-    own = [T.StructField(x, T.LongType()) for x in _FEATURES] + [T.StructField("base_failed", T.BooleanType()), T.StructField("cost", T.DoubleType())]
-    names = {f.name for f in own}
-    kept = [c for c in docs.columns if c not in names]
-    schema = T.StructType([docs.schema[c] for c in kept] + own)
+def measured(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs`, whole, with the features, base_failed and `cost`."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.costs))
+    own = [T.StructField(x, T.LongType()) for x in _FEATURES] + [T.StructField("base_failed", T.BooleanType()), T.StructField("__often", T.DoubleType()), T.StructField("__grams", T.LongType())]
+    if model.rare is not None:
+        docs = docs.withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(7), "text", F.coalesce("lang", F.lit("")))})
+    schema = T.StructType([*docs.schema, *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
-        for part, texts in _parts(batches):
-            cost = np.full(len(texts), np.nan)
-            for lang, at, some in _by_language(part, texts):
-                if lang not in tables:
-                    if len(tables) == 8:
-                        tables.clear()
-                    tables[lang] = expand(shared.value[lang]) if lang in shared.value else np.full(GRAMS, -np.log(CLASSES), np.float32)
-                keys, sizes = _grams(some)
-                sums = np.r_[0.0, np.cumsum(-tables[lang][keys], dtype=np.float64)]
-                ends = np.cumsum(sizes)
-                cost[at] = (sums[ends] - sums[ends - sizes]) / np.where(sizes > 0, sizes, np.nan)
+        keys, values = shared.value
+        for part, texts, langs in _parts(batches):
+            _, key, _, doc = _grams(texts, langs)
+            at, there = _find(keys, key)
+            often = np.bincount(doc[there], values[at[there]], len(texts)).astype(float)  # whole numbers if empty
             found = features(texts)
-            bad = base_failed(found[0], found[4])
-            arrays = [part.column(part.schema.get_field_index(c)) for c in kept] + [pa.array(x) for x in found] + [pa.array(bad), pa.array(cost, from_pandas=True)]
+            arrays = [*part.columns, *map(pa.array, found), pa.array(base_failed(found[0], found[4])), pa.array(often), pa.array(np.bincount(doc, minlength=len(texts)))]
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema])
 
-    return docs.select(*kept).mapInArrow(run, schema)
-
-
-def models(docs: DataFrame) -> list[dict[str, list]]:
-    """Models by language, in turns of at most TURN entries (one language at least)."""
-    counted = written(count_grams(docs), "grams")
-    sizes = counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
-    turns, held = [[]], 0
-    for r in sizes:
-        if turns[-1] and held + 4 * r["n"] > TURN:
-            turns.append([])
-            held = 0
-        turns[-1].append(r["lang"])
-        held += 4 * r["n"]
-    out = []
-    for langs in turns:
-        got = counted.where(F.col("lang").isin(langs)).toPandas() if langs else None
-        out.append({k: kneser_ney(g["gram"].to_numpy(), g["n"].to_numpy()) for k, g in got.groupby("lang")} if langs else {})
-    return out
-
-
-def _measure_all(docs: DataFrame, turns: list[dict[str, list]]) -> DataFrame:
-    lang = F.coalesce(F.col("lang"), F.lit(""))
-    if len(turns) == 1:
-        return measured(docs, turns[0])
-    # languages without an n-gram have no model; their rows go with the first turn
-    later = [x for m in turns[1:] for x in m]
-    parts = [measured(docs.where(lang.isin(list(m)) if i else ~lang.isin(later)), m) for i, m in enumerate(turns)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, _ = shared.value
+        for part, texts, langs in _parts(batches):
+            whole, key, starts, doc = _grams(texts, langs)
+            out = np.flatnonzero(~_find(keys, key)[1])
+            order = out[np.lexsort((key[out], doc[out]))]
+            first = np.flatnonzero(np.r_[True, (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])]) if len(order) else np.zeros(0, np.int64)
+            n, at = np.diff(np.r_[first, len(order)]), order[first]
+            distinct = np.bincount(doc[at], minlength=len(texts))
+            h1, h2 = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("__h1", "__h2"))
+            for s in range(0, len(at), 100_000):
+                some = at[s : s + 100_000]
+                d = doc[some]
+                arrays = [pa.array(h1[d]), pa.array(h2[d]), pa.array([langs[i] for i in d.tolist()], pa.string()), pa.array([whole[i : i + ORDER] for i in starts[some].tolist()], pa.string()), pa.array(n[s : s + 100_000]), pa.array(distinct[d])]
+                yield pa.RecordBatch.from_arrays(arrays, ["__h1", "__h2", "lang", "gram", "n", "distinct"])
+
+    rows, rare = docs.mapInArrow(run, schema), F.lit(0.0)
+    if model.rare is not None:
+        asked = docs.select("__h1", "__h2", "lang", "text").mapInArrow(missing, "__h1 long, __h2 long, lang string, gram string, n long, distinct long")
+        # each copy of a text asks for the same `distinct` n-grams: their rows tell how many copies there are
+        sums = asked.join(model.rare, ["lang", "gram"]).groupBy("__h1", "__h2").agg((F.sum(F.col("n") * F.col("cost")) * F.max("distinct") / F.count(F.lit(1))).alias("__rare"))
+        rows, rare = rows.join(sums, ["__h1", "__h2"], "left").drop("__h1", "__h2"), F.coalesce("__rare", F.lit(0.0))
+    cost = F.when(F.col("__grams") > 0, F.round((F.col("__often") + rare) / F.col("__grams"), 6))
+    return rows.withColumn("cost", cost).drop("__often", "__grams", "__rare")
 
 
 def bands(slim: DataFrame, languages: int) -> DataFrame:
@@ -273,22 +288,22 @@ def _kept(chars: Column) -> Column:
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the features, base_failed, kept and perplexity of each document."""
-    turns = models(docs)
-    slim = written(_measure_all(docs.select("doc_id", "text", "lang"), turns).drop("text"), "quality")
+    found = model(docs)
+    slim = written(measured(docs.select("doc_id", "text", "lang"), found).drop("text"), "quality")
     return (
-        slim.withColumn("__lang", F.coalesce("lang", F.lit(""))).join(bands(slim, sum(map(len, turns))), "__lang", "left")
+        slim.withColumn("__lang", F.coalesce("lang", F.lit(""))).join(bands(slim, found.languages), "__lang", "left")
         .select("doc_id", *_FEATURES, "base_failed", _kept(F.col("word_chars")).alias("kept"), F.exp("cost").alias("perplexity"))
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, as they are. Each is measured twice rather than shuffled with its text."""
-    turns = models(docs)
-    slim = written(_measure_all(docs.select("text", "lang"), turns).select("lang", "cost", "base_failed"), "quality")
+    found = model(docs)
+    slim = written(measured(docs.select("text", "lang"), found).select("lang", "cost", "base_failed"), "quality")
     # columns of the input that are named as the measures are set aside and carried
     clash = {c: f"__own_{c}" for c in docs.columns if c in {*_FEATURES, "base_failed", "cost"}}
-    rows = _measure_all(docs.withColumnsRenamed(clash), turns).withColumn("__lang", F.coalesce("lang", F.lit("")))
-    kept = rows.join(bands(slim, sum(map(len, turns))), "__lang", "left").where(_kept(F.col("word_chars")))
+    rows = measured(docs.withColumnsRenamed(clash), found).withColumn("__lang", F.coalesce("lang", F.lit("")))
+    kept = rows.join(bands(slim, found.languages), "__lang", "left").where(_kept(F.col("word_chars")))
     return kept.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
 
 

@@ -1,6 +1,8 @@
 """Operators on a small fixture with nulls, empty and long texts, ties, copies and extra columns, against brute force."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -121,11 +123,57 @@ def test_quality(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    keys = np.random.default_rng(1).integers(0, quality.GRAMS, 5000)
-    grams, n = np.unique(keys, return_counts=True)
-    p = np.exp(quality.expand(quality.kneser_ney(grams, n))).reshape(-1, quality.CLASSES).sum(1)
-    assert np.allclose(p, 1, atol=1e-3)
+def plain_costs(texts: list) -> dict:
+    """Cost of each 5-gram of texts of one language, by the definition of modified Kneser-Ney smoothing."""
+    n, held = collections.Counter(), collections.Counter()
+    for t in texts:
+        grams = [t[i : i + 5] for i in range(len(t) - 4)]
+        n.update(grams)
+        held.update(set(grams))
+    level = {g: n[g] * (held[g] - 1) // held[g] for g in n if held[g] > 1}
+    levels = []
+    for _ in range(5):
+        of = collections.Counter(level.values())
+        n1, n2, n3, n4 = (max(1, of[i]) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        off = [min(max(x, 0), i) for i, x in enumerate([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])]
+        total, freed = collections.Counter(), collections.Counter()
+        for g, c in level.items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += off[min(c, 3)]
+        levels.append((level, off, total, freed))
+        level = collections.Counter(g[1:] for g in level)
+
+    def p(g):
+        level, off, total, freed = levels[5 - len(g)]
+        lower = p(g[1:]) if len(g) > 1 else 1 / (1 + len(level))
+        c, context = level.get(g, 0), g[:-1]
+        return (c - off[min(c, 3)]) / total[context] + freed[context] / total[context] * lower if total[context] else lower
+
+    return {g: -math.log(p(g)) for g in n}
+
+
+def test_perplexity_against_the_definition(spark, docs):
+    some = docs.where("lang is not null")
+    found = {(r["lang"], r["gram"]): r["cost"] for r in quality.costs(quality.count_grams(some)).collect()}
+    rows = got(quality.judge(some))
+    for lang in ("en", "de"):
+        ids = [i for i in range(len(TEXTS)) if i % 3 == ("en", "de").index(lang)]
+        plain = plain_costs([TEXTS[i] or "" for i in ids])
+        assert {g for x, g in found if x == lang} == set(plain)
+        assert all(abs(found[lang, g] - c) < 2e-6 for g, c in plain.items())
+        mean = {i: sum(plain[t[k : k + 5]] for k in range(len(t) - 4)) / (len(t) - 4) for i in ids if len(t := TEXTS[i] or "") > 4}
+        for i in ids:
+            assert (rows[i]["perplexity"] is None) == (i not in mean)
+            assert i not in mean or abs(math.log(rows[i]["perplexity"]) - mean[i]) < 1e-5
+        clean = sorted(mean[i] for i in ids if not rows[i]["base_failed"])
+        mid = clean[(len(clean) - 1) // 2]
+        spread = max(quality.FLOOR, sorted(abs(x - mid) for x in clean)[(len(clean) - 1) // 2])
+        for i in ids:
+            wide = quality.WIDTH * spread + quality.SHORT / math.sqrt(max(1, rows[i]["word_chars"]))
+            gap = abs(mean[i] - mid) - wide if i in mean else -1
+            if abs(gap) > 1e-4:
+                assert rows[i]["kept"] == (not rows[i]["base_failed"] and gap <= 0)
 
 
 def test_html():
@@ -435,17 +483,21 @@ def test_near_duplicates_of_the_pipeline(spark):
     assert len({r["component_id"] for r in jaccard_join.join(two).collect()}) == 2
 
 
-def test_quality_in_several_turns_keeps_all_rows(spark, docs, monkeypatch):
+@pytest.mark.parametrize("most", [0, 40])
+def test_quality_beyond_the_broadcast_is_the_same(spark, docs, monkeypatch, most):
     short = [(900, None, None), (901, "", "xx"), (902, "abc", "yy"), (903, None, "xx")]
-    some = docs.where("lang is not null").select("doc_id", "text", "lang").unionByName(spark.createDataFrame(short, "doc_id long, text string, lang string"))
+    some = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(short, "doc_id long, text string, lang string"))
     whole = got(quality.judge(some))
-    monkeypatch.setattr(quality, "TURN", 1)
-    turns = quality.models(some)
-    assert [list(m) for m in turns] == [["de"], ["en"]]
-    assert got(quality.judge(some)) == whole and len(whole) == some.count()
+    monkeypatch.setattr(quality, "TURN", most)
+    found = quality.model(some)
+    assert found.rare is not None and (most == 0) == (len(found.keys) == 0) and len(found.keys) <= most
+    again = got(quality.judge(some))
+    assert len(again) == len(whole) == some.count()
+    for i, r in whole.items():
+        assert {**r.asDict(), "perplexity": 0} == {**again[i].asDict(), "perplexity": 0}
+        assert again[i]["perplexity"] == pytest.approx(r["perplexity"], rel=1e-4) if r["perplexity"] else again[i]["perplexity"] is None
     assert all(whole[i]["base_failed"] and not whole[i]["kept"] for i in range(900, 904))
-    kept = {r["doc_id"] for r in quality.keep_good(some).collect()}
-    assert kept == {i for i, r in whole.items() if r["kept"]}
+    assert {r["doc_id"] for r in quality.keep_good(some).collect()} == {i for i, r in again.items() if r["kept"]}
 
 
 @pytest.mark.parametrize("before", ["", "<button>Share", "<select><option>One<option>Two", "<svg><path d=x>", "<svg/>", "<object data=x>", "<math><mi>x", "<canvas>none", "<button>Share</button>", "<svg><svg></svg></svg>"])
