@@ -25,11 +25,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import table, texts_of, written
+from sievework.llm.common import dropped, table, texts_of, written
 
 ORDER = 5
 WIDTH, SHORT, FLOOR = 4.0, 1.25, 0.01
@@ -110,40 +110,48 @@ def _right(order: int) -> Column:
     return F.substring("gram", 2, order - 1)
 
 
-def _discounts(counts: DataFrame) -> DataFrame:
-    """lang and the modified Kneser-Ney discounts __d1, __d2, __d3 for counts of 1, 2 and 3 or more."""
+def _discounts(counts: DataFrame, few: bool) -> DataFrame:
+    """lang and the modified Kneser-Ney discounts d1, d2, d3 for counts of 1, 2 and 3 or more."""
     some = counts.groupBy("lang").agg(*[F.greatest(F.lit(1), F.count(F.when(F.col("c") == i, 1))).alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.expr("n1 / (n1 + 2 * n2)")
-    raw = {"__d1": 1 - 2 * y * F.expr("n2 / n1"), "__d2": 2 - 3 * y * F.expr("n3 / n2"), "__d3": 3 - 4 * y * F.expr("n4 / n3")}
-    return some.select("lang", *[F.least(F.greatest(v, F.lit(0.0)), F.lit(float(i))).alias(k) for i, (k, v) in enumerate(raw.items(), 1)])
+    raw = {"d1": 1 - 2 * y * F.expr("n2 / n1"), "d2": 2 - 3 * y * F.expr("n3 / n2"), "d3": 3 - 4 * y * F.expr("n4 / n3")}
+    found = some.select("lang", *[F.least(F.greatest(v, F.lit(0.0)), F.lit(float(i))).alias(k) for i, (k, v) in enumerate(raw.items(), 1)])
+    return F.broadcast(found.sparkSession.createDataFrame(found.collect(), found.schema)) if few else written(found, "discounts")
 
 
 def costs(counted: DataFrame, few: bool = True) -> DataFrame:
-    """lang, gram, n, cost (negative log probability of the last code point after the others) of counted n-grams."""
-    small = F.broadcast if few else lambda df: df
-    counts = counted.select("lang", "gram", F.floor(F.col("n") * (F.col("docs") - 1) / F.col("docs")).alias("c")).where("c > 0")
+    """lang, gram, n, cost (negative log probability of the last code point after the others) of counted n-grams.
+
+    Each order is written once, on the way down (shares and back-off weights) and on the way up (probabilities).
+    """
+    counts = written(counted.select("lang", "gram", F.floor(F.col("n") * (F.col("docs") - 1) / F.col("docs")).alias("c")).where("c > 0"), "counts")
     asked, levels = counted.select("lang", "gram"), []
     for order in range(ORDER, 0, -1):
-        d = counts.join(small(_discounts(counts)), "lang")
-        off = F.when(F.col("c") == 1, F.col("__d1")).when(F.col("c") == 2, F.col("__d2")).otherwise(F.col("__d3"))
-        d = d.select("lang", "gram", _left(order).alias("context"), "c", off.alias("off"))
-        contexts = d.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("weight"))
-        levels.append((order, asked, d.select("lang", "gram", (F.col("c") - F.col("off")).alias("rest")), contexts))
-        # below the highest order an n-gram counts by how many code points stand before it
-        counts = counts.groupBy("lang", _right(order).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
-        asked = asked.select("lang", _right(order).alias("gram")).distinct()
+        d = counts.join(_discounts(counts, few), "lang").withColumn("off", F.expr("CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
+        siblings = Window.partitionBy("lang", "context")  # no more than there are code points
+        level = d.withColumn("context", _left(order)).select(
+            "lang", "gram", "context", ((F.col("c") - F.col("off")) / F.sum("c").over(siblings)).alias("share"), (F.sum("off").over(siblings) / F.sum("c").over(siblings)).alias("weight")
+        )
+        levels.append((order, asked, written(level, "level")))
+        dropped(counts)
+        if order > 1:
+            # below the highest order an n-gram counts by how many code points stand before it
+            counts = written(levels[-1][2].groupBy("lang", _right(order).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "counts")
+            asked = written(asked.select("lang", _right(order).alias("gram")).distinct(), "asked")
     p = None
-    for order, asked, rest, contexts in reversed(levels):
+    for order, asked, level in reversed(levels):
         if p is None:  # one share for each known code point and one for all others
-            known = rest.groupBy("lang").agg(F.count(F.lit(1)).alias("known"))
-            lower = asked.select("lang").distinct().join(small(known), "lang", "left").select("lang", (1 / (1 + F.coalesce("known", F.lit(0)))).alias("lower"))
-            p = asked.join(small(lower), "lang")
+            known = level.groupBy("lang").agg(F.count(F.lit(1)).alias("known"))
+            q = asked.join(F.broadcast(known) if few else known, "lang", "left").withColumn("lower", 1 / (1 + F.coalesce("known", F.lit(0)))).drop("known")
         else:
-            p = asked.withColumn("__low", _right(order)).join(p.select("lang", F.col("gram").alias("__low"), F.col("p").alias("lower")), ["lang", "__low"]).drop("__low")
-        p = (
-            p.withColumn("context", _left(order)).join(contexts, ["lang", "context"], "left").join(rest, ["lang", "gram"], "left")
-            .select("lang", "gram", (F.coalesce(F.col("rest") / F.col("total"), F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("lower")).alias("p"))
+            q = asked.withColumn("low", _right(order)).join(p.select("lang", F.col("gram").alias("low"), F.col("p").alias("lower")), ["lang", "low"]).drop("low")
+        weights = level.groupBy("lang", "context").agg(F.max("weight").alias("weight"))
+        q = (
+            q.withColumn("context", _left(order)).join(weights, ["lang", "context"], "left").join(level.select("lang", "gram", "share"), ["lang", "gram"], "left")
+            .select("lang", "gram", (F.coalesce("share", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("lower")).alias("p"))
         )
+        below, p = p, written(q, "probabilities")
+        dropped(level, asked, *([below] if below is not None else []))
     # equal probabilities whose sums were taken in another order stay equal
     return counted.join(p, ["lang", "gram"]).select("lang", "gram", "n", F.round(-F.log(F.greatest("p", F.lit(1e-12))), 6).alias("cost"))
 
@@ -165,6 +173,7 @@ def model(docs: DataFrame) -> Model:
     counted = written(count_grams(docs), "grams")
     languages = counted.select("lang").distinct().count()
     table_ = written(costs(counted, languages <= FEW), "costs")
+    dropped(counted)
     # the least count whose n-grams and all more frequent ones fit; counts are told apart by their leading bits
     level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     least, held, total = None, 0, 0
