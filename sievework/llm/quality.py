@@ -183,7 +183,7 @@ def model(docs: DataFrame) -> Model:
             least, held = r["level"], total
     often = table_.where(level >= (least if least is not None else 2**30)).select("lang", "gram", "cost")
     got = often.mapInArrow(_keyed, "key long, cost double").toArrow() if held else None
-    keys = got["key"].to_numpy(np.int64).view(np.uint64) if held else np.zeros(0, np.uint64)
+    keys = got["key"].to_numpy().view(np.uint64) if held else np.zeros(0, np.uint64)
     order = np.argsort(keys)
     values = (got["cost"].to_numpy()[order] if held else np.zeros(0)).astype(np.float32)
     rare = table_.where(level < least if least is not None else F.lit(True)).select("lang", "gram", "cost") if held < total else None
