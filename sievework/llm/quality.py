@@ -37,7 +37,7 @@ WIDTH, SHORT, FLOOR = 4.0, 1.25, 0.01
 TURN = 4_000_000
 #: So many languages' bands and discounts are broadcast.
 FEW = 10_000
-BATCH = 4_000_000
+BATCH = 1_000_000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
