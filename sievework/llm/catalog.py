@@ -1,10 +1,10 @@
-"""The ten operators' queries and the SQL of those that SQL can express."""
+"""The numbered operators' queries and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "bpe_codec", "toxicity", "quality", "fingerprints", "packing", "html_text", "passages", "jaccard_join", "fuzzy_lines"]
+MODULES = ["sharding", "bpe_codec", "toxicity", "quality", "fingerprints", "packing", "html_text", "passages", "jaccard_join", "fuzzy_lines", "divergence", "super_kmers", "vector_codes"]
 
 
 def queries() -> dict:
