@@ -2,9 +2,10 @@
 
 The model is a modified Kneser-Ney model of order 5 over the code points of the texts as they are, one for each
 language. Spark counts the n-grams of all documents, derives the lower orders, discounts and back-off weights by
-grouping and joins, and gives each distinct n-gram its cost. So that a text isn't judged by what it alone taught, a
-count is that of all occurrences less the mean number in a document that has the n-gram; n-grams of one document
-count nothing and are scored by backing off.
+grouping and joins, and gives each distinct n-gram its cost. So that a text isn't judged by what it alone taught, equal
+texts of a language are counted once, and a count is that of all occurrences less the mean number in `FAMILY` documents
+that have the n-gram: n-grams of so few documents (near copies, shared passages) count nothing and are scored by backing
+off. A larger family of near copies that aren't equal still teaches itself.
 
 Scoring looks n-grams up by binary search in a sorted array of hashes. That array is broadcast with at most `TURN`
 entries, the most frequent ones; n-grams beyond it, all of them rarer, are joined with the cost table by shuffle, so
@@ -20,18 +21,22 @@ gives an empty result. Columns of the input that are named as the measures are c
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.llm.bloom import bloom, known
 from sievework.llm.common import dropped, table, texts_of, written
 
 ORDER = 5
+#: Documents whose share is taken off an n-gram's count.
+FAMILY = 4
 WIDTH, SHORT, FLOOR = 4.0, 1.25, 0.01
 #: Entries of the model that are broadcast (12 bytes each).
 TURN = 4_000_000
@@ -79,6 +84,9 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 start, size = i + 1, 0
 
 
+_COUNTS = "lang string, gram string, n long, docs long"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts, langs in _parts(batches):
         whole, key, starts, doc = _grams(texts, langs)
@@ -96,9 +104,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([names, grams, pa.array(n[s : s + 100_000]), pa.array(held[s : s + 100_000])], ["lang", "gram", "n", "docs"])
 
 
+def _chosen(bits: Broadcast, copies: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows whose hash the filter knows, or doesn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known(bits.value, batch.column(0).to_numpy()) == copies))
+
+    return run
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n (occurrences), docs (documents that have it) over all documents."""
-    found = docs.select("lang", "text").mapInArrow(_count, "lang string, gram string, n long, docs long")
+    """lang, gram, n (occurrences), docs (documents that have it) over all different texts of a language.
+
+    Only texts whose hash stands twice, or seems to in a filter, are shuffled, and compared whole.
+    """
+    plain = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "text")])
+    hashed = plain.select(F.xxhash64("lang", "text").alias("h"), "lang", "text")
+    twice = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(twice))
+    single = hashed.mapInArrow(lambda batches: _count(_chosen(bits, False)(batches)), _COUNTS)
+    copied = hashed.mapInArrow(_chosen(bits, True), hashed.schema).dropDuplicates(["lang", "text"]).mapInArrow(_count, _COUNTS)
+    found = single.unionByName(copied)
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -124,7 +151,7 @@ def costs(counted: DataFrame, few: bool = True) -> DataFrame:
 
     Each order is written once, on the way down (shares and back-off weights) and on the way up (probabilities).
     """
-    counts = written(counted.select("lang", "gram", F.floor(F.col("n") * (F.col("docs") - 1) / F.col("docs")).alias("c")).where("c > 0"), "counts")
+    counts = written(counted.select("lang", "gram", F.floor(F.col("n") * (F.col("docs") - FAMILY) / F.col("docs")).alias("c")).where("c > 0"), "counts")
     asked, levels = counted.select("lang", "gram"), []
     for order in range(ORDER, 0, -1):
         d = counts.join(_discounts(counts, few), "lang").withColumn("off", F.expr("CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
