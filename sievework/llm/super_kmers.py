@@ -275,7 +275,8 @@ def _least_of_hot(members: DataFrame, hot: int, level: int) -> DataFrame:
     rows = members.select("group", "member", "first", "most", "bytes").mapInArrow(_cut(GRAMS[level]), "group long, member binary, first long, most long, at int, next long, kind binary, bytes binary")
     rows = written(rows, "cut")
     if GRAMS[level] == WINDOW:  # a row is a window
-        least = rows.groupBy("bytes").agg(F.min("first").alias("doc"), F.max("most").alias("greatest")).where("doc < greatest").drop("greatest")
+        # written, so that a window of very many strings is dealt over several tasks
+        least = written(rows.groupBy("bytes").agg(F.min("first").alias("doc"), F.max("most").alias("greatest")).where("doc < greatest").drop("greatest"), "windows")
         moved = rows.join(least, "bytes").where("doc < most").select("group", "member", F.struct(F.col("at").alias("first"), F.col("at").alias("last"), "doc").alias("range"))
     else:
         kinds = written(rows.groupBy("next", "kind").agg(F.min("first").alias("first"), F.max("most").alias("most"), F.any_value("bytes").alias("bytes")), "kinds")
