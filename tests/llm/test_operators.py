@@ -160,7 +160,7 @@ def plain_costs(texts: list) -> dict:
         c, context = level.get(g, 0), g[:-1]
         return (c - off[min(c, 3)]) / total[context] + freed[context] / total[context] * lower if total[context] else lower
 
-    return {g: -math.log(p(g)) for g in n}
+    return {g: -math.log(max(p(g), 1e-12)) for g in n}
 
 
 def test_perplexity_against_the_definition(spark, docs):
