@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions.times import MAIN, SEGMENTS, SPARSE, age_days
-from sievework.operators import analysis, features, metrics, models, ranking, stats, vectors
+from sievework.operators import analysis, factors, features, metrics, models, ranking, stats, vectors
 from sievework.plans import data as D
 
 Q: dict = {}
@@ -290,3 +290,81 @@ def curated_users(spark, sf):
     inter, _, _, ranks = _pop_ranks(spark, sf)
     m = metrics.per_user(ranks).join(D.segments(inter, MAIN), "user_id").select("user_id", "segment", (F.col("hit_10") > 0).alias("hit"))
     return analysis.curate(m, 2, 4, 7)
+
+
+#: Content scores of all users with validation truth over the whole catalog: items without a vector and cold users score 0.
+_CONTENT = f"""WITH {D.labelled(SPARSE)}, u AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IN (SELECT p_partkey FROM part)),
+ unit AS (SELECT item_id, CASE WHEN list_inner_product(e, e) > 0 THEN list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) ELSE e END AS e FROM u),
+ long AS (SELECT user_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM train JOIN unit USING (item_id)),
+ mean AS (SELECT user_id, list(x ORDER BY i) AS e FROM (SELECT user_id, i, avg(x) AS x FROM long GROUP BY 1, 2) GROUP BY 1),
+ profile AS (SELECT user_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM mean),
+ asked AS (SELECT DISTINCT user_id FROM val),
+ content AS MATERIALIZED (SELECT user_id, p_partkey AS item_id, coalesce(round(list_inner_product(profile.e, unit.e), 9), 0) AS score FROM asked CROSS JOIN part LEFT JOIN profile USING (user_id) LEFT JOIN unit ON unit.item_id = p_partkey)"""
+_UNSEEN = "SELECT * FROM {scores} s WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = s.user_id AND t.item_id = s.item_id)"
+_RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (" + _UNSEEN + "))"
+_SPARSE_POP = "pop AS (SELECT p_partkey AS item_id, CAST(count(train.user_id) AS DOUBLE) AS score FROM part LEFT JOIN train ON p_partkey = item_id GROUP BY 1)"
+_BLEND = (
+    _CONTENT + f", {_SPARSE_POP}, mm AS (SELECT item_id, (ln(1 + score) - min(ln(1 + score)) OVER ()) / (max(ln(1 + score)) OVER () - min(ln(1 + score)) OVER ()) AS p FROM pop),"
+    " ends AS (SELECT user_id, min(score) AS lo, max(score) AS hi FROM content GROUP BY 1),"
+    " blend AS MATERIALIZED (SELECT c.user_id, c.item_id, round(CASE WHEN hi > lo THEN 0.3 / (hi - lo) * (c.score - lo) ELSE 0 END + 0.7 * p, 9) AS score FROM content c JOIN ends USING (user_id) JOIN mm USING (item_id))"
+)
+
+
+def _content(spark, sf):
+    """train, validation truth, user profiles and item vectors, zeros where there are none."""
+    inter, train, val = _splits(spark, sf, SPARSE)
+    vecs = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+    items = D.items(spark, sf).select("item_id")
+    unit = vecs.join(items, "item_id", "left_semi").select("item_id", models.l2(F.transform("vec", lambda x: x.cast("double"))).alias("vec"))
+    dims = vecs.select(F.max(F.size("vec"))).first()[0]
+    users = factors.filled(val.select("user_id"), models.profiles(train, unit).withColumnRenamed("profile", "vec"), "user_id", dims)
+    return inter, train, val, users, factors.filled(items, unit, "item_id", dims)
+
+
+@query("content_ranks", _CONTENT + ", " + _RANKED.format(scores="content") + " SELECT user_id, item_id, rank FROM r SEMI JOIN val USING (user_id, item_id)")
+def content_ranks(spark, sf):
+    _, train, val, users, items = _content(spark, sf)
+    return factors.product(users, items, val, train, 0).ranks
+
+
+@query("content_top", _CONTENT + ", " + _RANKED.format(scores="content") + " SELECT user_id, item_id, rank AS position FROM r WHERE rank <= 10")
+def content_top(spark, sf):
+    _, train, val, users, items = _content(spark, sf)
+    return factors.product(users, items, val, train, 10).top.select("user_id", "item_id", F.col("position").cast("long").alias("position"))
+
+
+def _blend_arm(spark, sf):
+    inter, train, val, users, items = _content(spark, sf)
+    content = factors.product(users, items, val, train, 0)
+    pop = _popularity(spark, sf, train)
+    u, v = factors.blended(users, items, content.ranges, pop, 0.3)
+    return inter, train, val, pop, content.ranks, factors.product(u, v, val, train, 0).ranks
+
+
+@query("blend_ranks", _BLEND + ", " + _RANKED.format(scores="blend") + " SELECT user_id, item_id, rank FROM r SEMI JOIN val USING (user_id, item_id)")
+def blend_ranks(spark, sf):
+    return _blend_arm(spark, sf)[-1]
+
+
+@query("hybrid_ranks", _CONTENT + f", {_SPARSE_POP}, ordered AS (SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM pop), {_RANKS}, {_SEG}, " + _RANKED.format(scores="content") + " SELECT user_id, item_id, CASE WHEN n_train < 10 THEN ranks.rank ELSE r.rank END AS rank FROM r JOIN ranks USING (user_id, item_id) JOIN seg USING (user_id)")
+def hybrid_ranks(spark, sf):
+    """Users with fewer than ten train items by popularity, the others by content."""
+    inter, train, val, users, items = _content(spark, sf)
+    popular = ranking.masked_ranks(val, train, ranking.global_rank(_popularity(spark, sf, train))).withColumn("rank", F.col("rank").cast("long"))
+    return models.hybrid(popular, factors.product(users, items, val, train, 0).ranks, D.segments(inter, SPARSE), 10)
+
+
+def _als(spark, sf, k):
+    _, train, val = _splits(spark, sf, SPARSE)
+    users, items = factors.als_vectors(models.als(train), val.select("user_id"), D.items(spark, sf))
+    return factors.product(users, items, val, train, k)
+
+
+@query("als_ranks")
+def als_ranks(spark, sf):
+    return _als(spark, sf, 0).ranks
+
+
+@query("als_top")
+def als_top(spark, sf):
+    return _als(spark, sf, 10).top
