@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from sievework.llm.bloom import bloom, known
 from sievework.llm.common import dropped, table, texts_of, written
+from sievework.llm.super_kmers import Words
 
 ORDER = 5
 #: Documents whose share is taken off an n-gram's count.
@@ -47,6 +48,9 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
 
+#: Bytes that begin a code point of a word, and the symbols.
+_IN_WORDS = np.array([b & 0xC0 != 0x80 and chr(b) not in SPACES for b in range(256)])
+_SYMBOL = np.array([chr(b) in SYMBOLS for b in range(256)])
 _FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -92,7 +96,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, key, starts, doc = _grams(texts, langs)
         if not len(key):
             continue
-        order = np.argsort(key, kind="stable")  # texts stay in order for each n-gram
+        order = _order(key)  # texts stay in order for each n-gram
         k, d = key[order], doc[order]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         held = np.add.reduceat(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])].astype(np.int64), first)
@@ -217,22 +221,55 @@ def model(docs: DataFrame) -> Model:
     return Model(keys[order], values, rare, languages)
 
 
-def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of hashes in the sorted ones, and which of them are there."""
+def _index(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where each prefix of the sorted hashes begins, and the bits below a prefix; about as many prefixes as hashes."""
+    bits = max(1, int(len(keys)).bit_length())
+    ends = np.arange(1, 2**bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.concatenate([[0], np.searchsorted(keys, ends), [len(keys)]]).astype(np.int32), 64 - bits
+
+
+def _find(keys: np.ndarray, index: tuple[np.ndarray, int], asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes in the sorted ones, and which of them are there.
+
+    The prefix gives the first and last place that a hash may have; what is left, about one place, is gone through.
+    """
     if not len(keys):
         return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return at, keys[at] == asked
+    start, below = index
+    prefix = (asked >> np.uint64(below)).astype(np.int64)
+    at = start[prefix].astype(np.int64)
+    there = np.zeros(len(asked), bool)
+    left = np.flatnonzero(at < start[prefix + 1])
+    while len(left):
+        value, want = keys[at[left]], asked[left]
+        there[left[value == want]] = True
+        left = left[value < want]
+        at[left] += 1
+        left = left[at[left] < start[prefix[left] + 1]]
+    return np.minimum(at, len(keys) - 1), there
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """Their stable order. Hashes are sorted together with their places, unless two agree in all bits that this leaves."""
+    low = np.uint64(2 ** max(1, len(key).bit_length()) - 1)
+    packed = np.sort((key & ~low) | np.arange(len(key), dtype=np.uint64))
+    order = (packed & low).astype(np.int64)
+    k = key[order]
+    if np.any((k[1:] != k[:-1]) & ((k[1:] ^ k[:-1]) <= low)):
+        return np.argsort(key, kind="stable")
+    return order
 
 
 def features(texts: list[str]) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
-    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    n = np.array([len(w) for w in words], np.int64)
-    chars = np.array([len(t) - sum(map(t.count, SPACES)) for t in texts], np.int64)
-    symbols = np.array([sum(map(t.count, SYMBOLS)) for t in texts], np.int64)
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    raw, ends = np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(x) for x in data], dtype=np.int64)
+    offsets = np.concatenate([[0], ends])
+    words = Words(raw, offsets)
+    n = words.count.astype(np.int64)
+    chars, symbols = (np.diff(np.concatenate([[0], np.cumsum(flags[raw], dtype=np.int64)])[offsets]) for flags in (_IN_WORDS, _SYMBOL))
     dups = np.array([_dup_lines(t) for t in texts], np.int64)
-    h = np.array([hash(w) for ws in words for w in ws], np.int64).view(np.uint64)
+    h = words.hashes()
     repeats = np.zeros(len(texts), np.int64)
     if len(h) >= WINDOW:
         doc = np.repeat(np.arange(len(texts)), n)
@@ -242,7 +279,7 @@ def features(texts: list[str]) -> list[np.ndarray]:
             key = key * np.uint64(0x9E3779B97F4A7C15) + (x ^ (x >> np.uint64(29)))
         inside = np.flatnonzero(doc[: len(key)] == doc[WINDOW - 1 :])
         key = (key[inside] ^ (doc[inside].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        order = np.argsort(key)
+        order = _order(key)
         k = key[order]
         same = k[1:] == k[:-1]
         twice = inside[order[np.r_[same, False] | np.r_[False, same]]]
@@ -266,27 +303,27 @@ def base_failed(n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
 
 def measured(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs`, whole, with the features, base_failed and `cost`."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.costs))
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.costs, _index(model.keys)))
     own = [T.StructField(x, T.LongType()) for x in _FEATURES] + [T.StructField("base_failed", T.BooleanType()), T.StructField("__often", T.DoubleType()), T.StructField("__grams", T.LongType())]
     if model.rare is not None:
         docs = docs.withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(7), "text", F.coalesce("lang", F.lit("")))})
     schema = T.StructType([*docs.schema, *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = shared.value
+        keys, values, index = shared.value
         for part, texts, langs in _parts(batches):
             _, key, _, doc = _grams(texts, langs)
-            at, there = _find(keys, key)
+            at, there = _find(keys, index, key)
             often = np.bincount(doc[there], values[at[there]], len(texts)).astype(float)  # whole numbers if empty
             found = features(texts)
             arrays = [*part.columns, *map(pa.array, found), pa.array(base_failed(found[0], found[4])), pa.array(often), pa.array(np.bincount(doc, minlength=len(texts)))]
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema])
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, _ = shared.value
+        keys, _, index = shared.value
         for part, texts, langs in _parts(batches):
             whole, key, starts, doc = _grams(texts, langs)
-            out = np.flatnonzero(~_find(keys, key)[1])
+            out = np.flatnonzero(~_find(keys, index, key)[1])
             order = out[np.lexsort((key[out], doc[out]))]
             first = np.flatnonzero(np.r_[True, (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])]) if len(order) else np.zeros(0, np.int64)
             n, at = np.diff(np.r_[first, len(order)]), order[first]
