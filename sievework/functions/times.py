@@ -45,6 +45,22 @@ def support_bucket(n: Column) -> Column:
     return F.when(n == 0, "zero").when(n <= 4, "low").otherwise("ok")
 
 
+RECENCY = ("<=90d", "91-365d", ">365d", "never")
+
+
+def recency_bucket(last: Column, as_of: str) -> Column:
+    """How long before as_of the last training interaction was; items without one are `never`."""
+    days = age_days(last, as_of)
+    return F.when(last.isNull(), RECENCY[3]).when(days <= 90, RECENCY[0]).when(days <= 365, RECENCY[1]).otherwise(RECENCY[2])
+
+
+def first_seen_bucket(first: Column, train_end: str, oldest: int) -> Column:
+    """The year (UTC) of the first interaction up to train_end, years up to `oldest` together; later ones are post-cutoff."""
+    year = F.year(first)
+    after = first.isNull() | (first > F.lit(train_end).cast("timestamp_ntz"))
+    return F.when(after, "post-cutoff").when(year <= oldest, F.lit(f"<={oldest}")).otherwise(year.cast("string"))
+
+
 def age_days(ts: Column, as_of: str) -> Column:
     """Fractional days from ts to as_of."""
     micros = lambda c: F.unix_micros(c.cast("timestamp"))

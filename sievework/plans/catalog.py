@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("layers", "evaluation")
+MODULES = ("layers", "evaluation", "evidence")
 
 
 def queries() -> dict:

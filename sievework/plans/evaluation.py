@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions.times import MAIN, SEGMENTS, SPARSE, age_days
 from sievework.operators import analysis, factors, features, metrics, models, ranking, stats, vectors
 from sievework.plans import data as D
+from sievework.sources.scratch import written
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -312,7 +313,8 @@ _BLEND = (
 
 def _content(spark, sf):
     """train, validation truth, user profiles and item vectors, zeros where there are none."""
-    inter, train, val = _splits(spark, sf, SPARSE)
+    inter = written(D.interactions(spark, sf), "interactions")  # read by every arm
+    train, val = D.part_of(inter, SPARSE, "train"), D.part_of(inter, SPARSE, "val")
     vecs = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
     items = D.items(spark, sf).select("item_id")
     unit = vecs.join(items, "item_id", "left_semi").select("item_id", models.l2(F.transform("vec", lambda x: x.cast("double"))).alias("vec"))
