@@ -89,9 +89,28 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 _COUNTS = "lang string, gram string, n long, docs long"
+#: Counts of n-grams that a task adds up before it hands them on.
+HELD = 500_000
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+
+    def total() -> list[pa.RecordBatch]:
+        sums = pa.Table.from_batches(held).group_by(["lang", "gram"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        return sums.select(["lang", "gram", "n_sum", "docs_sum"]).rename_columns(["lang", "gram", "n", "docs"]).combine_chunks().to_batches(100_000)
+
+    for batch in _counts_of_parts(batches):
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= HELD:
+            yield from total()
+            held, rows = [], 0
+    if held:
+        yield from total()
+
+
+def _counts_of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts, langs in _parts(batches):
         whole, key, starts, doc = _grams(texts, langs)
         if not len(key):
