@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +73,66 @@ def overlap(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:
     return e.join(a, "query", "left").agg(F.avg(F.size(F.array_intersect("e", F.coalesce("a", F.array().cast("array<bigint>")))) / k).alias("overlap"))
 
 
+#: Vectors that centres are fitted on: a sample by hash, so its size doesn't follow the table's.
+FITTED = 20_000
+
+
+def fit_centres(vectors: DataFrame, cells: int, rounds: int = 8, seed: int = 7, sample: int = FITTED) -> np.ndarray:
+    """Centres of an inverted file by spherical k-means on at most `sample` unit vectors; with fewer vectors, fewer centres."""
+    h = F.xxhash64(F.lit(seed), "vec_id")
+    x = np.array([r[0] for r in vectors.orderBy(h, "vec_id").limit(sample).select("v").collect()])
+    if not len(x):
+        return np.zeros((0, 0))
+    centres = x[:1]  # the farthest vector from the centres so far is the next one
+    near = x @ centres[0]
+    while len(centres) < min(cells, len(x)):
+        centres = np.concatenate([centres, x[[near.argmin()]]])
+        near = np.maximum(near, x @ centres[-1])
+    for _ in range(rounds):
+        of = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)
+    return centres
+
+
+def nearest_cells(vectors: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """vectors with `cell`, a row for each of the `probes` cells whose centres are nearest."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(batch.schema.get_field_index("v"))
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+            cell = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :probes]
+            rows = pa.array(np.repeat(np.arange(len(v)), cell.shape[1]))
+            yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns], pa.array(cell.ravel().astype(np.int32))], [*batch.schema.names, "cell"])
+
+    return vectors.mapInArrow(run, f"{fields}, cell int")
+
+
+def ivf_top(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int) -> DataFrame:
+    """(query, vec_id, score, position) among the vectors of the `probes` cells nearest to each query.
+
+    index: `nearest_cells(vectors, centres, 1)`, every vector in its one cell. They meet by an equi-join on the cell, which
+    adaptive execution splits where a cell is large.
+    """
+    asked = nearest_cells(queries.select(F.col("vec_id").alias("query"), "v"), centres, probes).withColumnRenamed("v", "qv")
+    scored = index.join(asked, "cell").where("vec_id <> query").select("query", "vec_id", F.round(dot(F.col("v"), F.col("qv")), 9).alias("score"))
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+
+
+def compared_share(index: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """share: of all pairs of a query and a vector, how many the probes compare; from counts of cells."""
+    sizes = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    asked = nearest_cells(queries.select("vec_id", "v"), centres, probes).groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
+    met = asked.join(sizes, "cell").agg(F.sum(F.col("asked") * F.col("n")).alias("pairs"))
+    return met.join(queries.agg(F.count(F.lit(1)).alias("q"))).join(sizes.agg(F.sum("n").alias("rows"))).select((F.col("pairs") / (F.col("q") * F.col("rows"))).alias("share"))
+
+
 def facet(items: DataFrame, brand: str | None = None, max_price: float | None = None) -> DataFrame:
     """Brand equality and a price limit; items without a price fail the limit."""
     out = items

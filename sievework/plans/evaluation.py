@@ -254,6 +254,21 @@ def ann_overlap(spark, sf):
     return vectors.overlap(vectors.cosine_top(u, asked, 10), vectors.approx_top(index, frame, asked, 10, 2.0), 10)
 
 
+#: Cells of the inverted file and how many a query probes. The given vectors hardly cluster, so most cells must be probed.
+CELLS, PROBES = 32, 22
+
+
+@query("ivf_overlap")
+def ivf_overlap(spark, sf):
+    """Overlap@10 with the exact lists over the id % 100 queries, and the share of pairs that were compared."""
+    u = written(vectors.unit(D.table(spark, sf, "embeddings")), "unit")
+    asked = u.where("vec_id % 100 = 0")
+    centres = vectors.fit_centres(u, CELLS)
+    index = written(vectors.nearest_cells(u, centres, 1), "cells")
+    found = vectors.overlap(vectors.cosine_top(u, asked, 10), vectors.ivf_top(index, asked, centres, 10, PROBES), 10)
+    return found.join(vectors.compared_share(index, asked, centres, PROBES))
+
+
 @query("int8_codes", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT vec_id, e, list_max(list_transform(e, lambda x: abs(x))) / 127 AS scale FROM v) SELECT vec_id, round(scale, 9) AS scale, CAST(round_even(e[1] / scale, 0) AS BIGINT) AS first, CAST(list_sum(list_transform(e, lambda x: round_even(x / scale, 0))) AS BIGINT) AS total FROM s")
 def int8_codes(spark, sf):
     q = D.table(spark, sf, "embeddings").select("vec_id", vectors.quantise(F.col("embedding")).alias("q"))
