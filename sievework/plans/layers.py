@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sievework.functions import text as X
@@ -10,6 +12,8 @@ from sievework.operators import contracts as K
 from sievework.operators import dedup, features
 from sievework.operators.kcore import kcore
 from sievework.plans import data as D
+from sievework.sources import ledger
+from sievework.sources.scratch import scratch_dir, written
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -286,3 +290,13 @@ def last_per_key(spark, sf):
 def build_measures(spark, sf):
     p = D.table(spark, sf, "part")
     return p.agg(F.count(F.lit(1)).alias("items"), F.count_if(X.parse_price(F.col("p_type")).isNull()).alias("unparsed"), F.count_if(F.trim("p_brand") == "").alias("no_brand"), F.round(F.avg((F.trim("p_name") == "").cast("double")), 6).alias("empty_title"))
+
+
+@query("gate_ledger", f"SELECT 'r2' AS run_id, b AS batch, check_id, \"rows\" + b AS \"rows\" FROM ({SQL['gate_counts']}) CROSS JOIN (VALUES (0), (1)) t(b)")
+def gate_ledger(spark, sf):
+    """Gate counts of two runs as ledger rows, one batch of them appended twice, and the latest run read back."""
+    path = f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    counts = written(K.gate_counts(D.table(spark, sf, "lineitem"), LINES), "gate_counts")
+    for run, batch in (("r1", 0), ("r2", 0), ("r2", 1), ("r2", 1)):
+        ledger.append(counts.withColumn("rows", F.col("rows") + batch), path, run, batch)
+    return ledger.latest_run(ledger.read(spark, path)).select("run_id", "batch", "check_id", "rows")

@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a table in `spark.checkpoint.dir`; a temporary folder only in a local session."""
-    spark = df.sparkSession
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`; a temporary one only in a local session that has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    return base
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from a table in the scratch folder."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
