@@ -64,7 +64,7 @@ def compact(catalog: Catalog, table: str, target_bytes: int = 128 << 20) -> dict
 
 
 def lineage(catalog: Catalog, tables: list[str]) -> DataFrame:
-    """One row for each version of each table: rows in and out, bytes, files, seconds."""
+    """One row for each version of each table: rows in and out, seconds; `steps` records bytes and files too."""
     out = None
     for t in tables:
         h = catalog.history(t).alias("h")

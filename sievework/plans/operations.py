@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators import contracts as K
-from sievework.operators import reconcile, records
+from sievework.operators import dedup, reconcile, records, steps
 from sievework.operators.kcore import kcore
 from sievework.plans import data as D
 from sievework.plans import layers
-from sievework.sources.scratch import written
+from sievework.sources import ledger
+from sievework.sources.scratch import scratch_dir, written
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -178,3 +180,24 @@ def record_diff(spark, sf):
     """What changed in each user's profile between two days, as paths."""
     raw = D.raw(spark, sf)
     return records.diff(*[_profiles(raw, c) for c in CUTS], ["user_id"], "record")
+
+
+@query("step_lineage", f"""WITH {D.INTER}, n AS (SELECT (SELECT count(*) FROM lineitem) AS lines, (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM raw) AS joined,
+ (SELECT count(*) FROM inter) AS latest, (SELECT count(*) FROM inter WHERE rating >= 4) AS liked, (SELECT count(DISTINCT item_id) FROM inter WHERE rating >= 4) AS items)
+ SELECT CAST(o AS BIGINT) AS ordinal, step, source, a AS rows_in, b AS rows_out, a - b AS left_out, true AS has_bytes, true AS has_files FROM (
+ SELECT 0 AS o, 'raw' AS step, 'lineitem' AS source, lines AS a, joined AS b FROM n UNION ALL SELECT 0, 'raw', 'orders', orders, joined FROM n UNION ALL SELECT 1, 'latest', 'raw', joined, latest FROM n
+ UNION ALL SELECT 2, 'liked', 'latest', latest, liked FROM n UNION ALL SELECT 3, 'items', 'liked', liked, items FROM n)""")
+def step_lineage(spark, sf):
+    """Four steps that write their tables and record rows, bytes and files as they run."""
+    rec = steps.Recorder(spark, f"{scratch_dir(spark)}/steps-{uuid.uuid4().hex}", "run")
+    line, order = (rec.source(D.table(spark, sf, t), t) for t in ("lineitem", "orders"))
+    both = line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
+    raw = rec.step(
+        both.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), F.col("l_shipdate").alias("ts"), F.ceil(F.col("l_quantity") / 10).alias("rating"), F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").cast("long").alias("linenumber")),
+        "raw", ["lineitem", "orders"],
+    )
+    latest = rec.step(dedup.keep_latest(raw, D.KEYS, "ts", [F.col("orderkey"), F.col("linenumber")]), "latest", ["raw"])
+    liked = rec.step(latest.where("rating >= 4"), "liked", ["latest"])
+    rec.step(liked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "items", ["liked"])
+    found = steps.lineage(ledger.read(spark, rec.ledger))
+    return found.select("ordinal", "step", "source", "rows_in", "rows_out", "left_out", (F.col("bytes") > 0).alias("has_bytes"), (F.col("files") > 0).alias("has_files"))
