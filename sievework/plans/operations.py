@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators import contracts as K
-from sievework.operators import dedup, reconcile, records, steps
+from sievework.operators import dedup, guards, reconcile, records, steps
 from sievework.operators.kcore import kcore
 from sievework.plans import data as D
 from sievework.plans import layers
@@ -201,3 +201,14 @@ def step_lineage(spark, sf):
     rec.step(liked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "items", ["liked"])
     found = steps.lineage(ledger.read(spark, rec.ledger))
     return found.select("ordinal", "step", "source", "rows_in", "rows_out", "left_out", (F.col("bytes") > 0).alias("has_bytes"), (F.col("files") > 0).alias("has_files"))
+
+
+_SIDES = "a AS (SELECT strftime(ts, '%Y-%m') AS month, user_id, item_id, rating, orderkey, linenumber, ts FROM raw), b AS (SELECT strftime(ts, '%Y-%m') AS month, user_id, item_id, rating, orderkey, linenumber, ts FROM inter)"
+
+
+@query("unequal_months", f"""WITH {D.INTER}, {_SIDES}, off AS (SELECT DISTINCT month FROM (FROM a EXCEPT ALL FROM b) UNION SELECT DISTINCT month FROM (FROM b EXCEPT ALL FROM a))
+ SELECT month, (SELECT count(*) FROM a WHERE a.month = off.month) AS rows_a, (SELECT count(*) FROM b WHERE b.month = off.month) AS rows_b FROM off""")
+def unequal_months(spark, sf):
+    """Months whose rows differ between the raw and the deduplicated layer, found by digests without a row-wise join."""
+    a, b = (df.withColumn("month", F.date_format("ts", "yyyy-MM")) for df in (D.raw(spark, sf), D.interactions(spark, sf)))
+    return guards.unequal(a, b, ["month"])
