@@ -65,3 +65,13 @@ def canonical(name: str, kind: str) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def detail(c: Column, key: str) -> Column:
+    """The value of a key in a map; null where the map or the key is missing."""
+    return F.try_element_at(c, F.lit(key))
+
+
+def details(c: Column) -> Column:
+    """A JSON object as a map of strings: values that are not strings as their JSON text; null for anything else."""
+    return F.from_json(c, "map<string,string>")

@@ -67,6 +67,13 @@ def age_days(ts: Column, as_of: str) -> Column:
     return (micros(F.lit(as_of)) - micros(ts)) / F.lit(86_400_000_000.0)
 
 
+def from_epoch(c: Column, unit: str) -> Column:
+    """A timestamp from whole milliseconds or seconds since 1970 (UTC)."""
+    if unit not in ("milliseconds", "seconds"):
+        raise ValueError(f"unit {unit}")
+    return F.timestamp_millis(c) if unit == "milliseconds" else F.timestamp_seconds(c)
+
+
 def in_window(ts: Column, as_of: Column, days: Column) -> Column:
     """ts <= as_of, and after as_of - days unless days is 0; the lower edge is open."""
     return (ts <= as_of) & ((days == 0) | (ts > as_of - F.make_dt_interval(days)))
@@ -79,3 +86,11 @@ def half_open(ts: Column, start: str, end: str) -> Column:
 def hash_share(columns: list[str], parts: int, least: int) -> Column:
     """A deterministic share of rows: the hash of the columns falls below `least` of `parts`."""
     return F.pmod(F.xxhash64(*columns), F.lit(parts)) < least
+
+
+def late_update(columns: list[str], ts: Column, start: str, end: str, parts: int, held: int, updated: int) -> Column:
+    """Landed rows of the late window that are replayed as updates: not held out, and in the share `updated` of a second
+    hash, whose first two columns change places so that the two draws are independent."""
+    late = half_open(ts, start, end)
+    swapped = [columns[1], columns[0], *columns[2:]]
+    return late & ~hash_share(columns, parts, held) & hash_share(swapped, parts, updated)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import normal_tag
@@ -47,6 +47,30 @@ def top_tags(tags: DataFrame, k: int = 10) -> DataFrame:
     return top.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"]).alias("tags"))
 
 
+def text_coverage(items: DataFrame, tags: DataFrame, cutoff: str, recipe: Column) -> DataFrame:
+    """How much text a catalog has before anything is embedded: measure, n, rows, share (0 where rows is 0).
+
+    items: (item_id unique, genres array); tags: (item_id, tag, ts), those up to `cutoff` count. `zero_tag`: items
+    without a usable tag; `empty_genres`; `empty_text`: items whose recipe is null or empty and that have no tag either;
+    `empty_tag_rows`: tag rows in the window that are null or blank once normalised, of all in the window. A null
+    genres array is empty, tags of unknown items count as rows only.
+    """
+    inside = tags.where(F.col("ts") <= F.lit(cutoff).cast("timestamp_ntz")).select("item_id", normal_tag(F.col("tag")).alias("tag"))
+    per = inside.groupBy("item_id").agg(F.count(F.lit(1)).alias("tag_rows"), F.count("tag").alias("tags"))
+    marked = items.withColumn("__text", F.coalesce(recipe, F.lit(""))).join(per, "item_id", "full_outer")
+    item, bare = F.col("__text").isNotNull(), F.coalesce("tags", F.lit(0)) == 0
+    n = {
+        "zero_tag": F.count_if(item & bare),
+        "empty_genres": F.count_if(item & (F.coalesce(F.size("genres"), F.lit(0)) <= 0)),
+        "empty_text": F.count_if(item & bare & (F.trim("__text") == "")),
+        "empty_tag_rows": F.coalesce(F.sum(F.col("tag_rows") - F.col("tags")), F.lit(0)),
+    }
+    wide = marked.agg(*[c.alias(k) for k, c in n.items()], F.count_if(item).alias("__items"), F.coalesce(F.sum("tag_rows"), F.lit(0)).alias("__tags"))
+    long_ = wide.unpivot(["__items", "__tags"], list(n), "measure", "n")
+    rows = F.when(F.col("measure") == "empty_tag_rows", F.col("__tags")).otherwise(F.col("__items"))
+    return long_.select("measure", "n", rows.alias("rows"), F.coalesce(F.try_divide("n", rows), F.lit(0.0)).alias("share"))
+
+
 def volume(inter: DataFrame, unit: str = "month") -> DataFrame:
     """Interactions and distinct users per period, with the running count and its share of all.
 

@@ -70,6 +70,20 @@ def count_before(items: DataFrame, asked: DataFrame) -> DataFrame:
     return found.withColumn("before", F.coalesce(F.col("upto") - F.col("start"), F.lit(0))).drop("item", "tie", "upto", "start")
 
 
+def _check_apart(shares: DataFrame, items: DataFrame, digits: int) -> None:
+    """No two scores of a category, nor one and 0, may fall together when a share of it multiplies them.
+
+    Gaps are over each category's distinct scores, and one row for each category meets the least shares.
+    """
+    scores = items.where("score > 0 AND category IS NOT NULL").select("category", "score").distinct()
+    gap = F.col("score") - F.lag("score", 1, 0).over(Window.partitionBy("category").orderBy("score"))
+    least = scores.withColumn("gap", gap).groupBy("category").agg(F.min("gap").alias("gap"))
+    share = shares.where("share > 0").groupBy("category").agg(F.min("share").alias("share"))
+    close = least.join(share, "category").where(F.col("gap") * F.col("share") <= 10.0**-digits).select("category", "gap", "share").first()
+    if close:
+        raise ValueError(f"category {close['category']}: scores {close['gap']} apart fall together at a share of {close['share']} and {digits} digits")
+
+
 def shared_ranks(truth: DataFrame, seen: DataFrame, shares: DataFrame, items: DataFrame, digits: int) -> DataFrame:
     """(user_id, item_id, rank) of truth items under the score round(share of the item's category * score, digits).
 
@@ -77,8 +91,10 @@ def shared_ranks(truth: DataFrame, seen: DataFrame, shares: DataFrame, items: Da
     only the categories they have: a category's items above a score are a running count over its distinct scores
     (whole counts of interactions, whose distinct values grow with the square root of their sum), ties are counted by
     `count_before`, and a user's own seen items are taken off. Items without a score follow by id. Scores of one
-    category must differ after rounding.
+    category must differ after rounding, and be above 0: where the least gap of a category times the least share in it
+    could round away, ValueError is raised, as ranks would be wrong.
     """
+    _check_apart(shares, items, digits)
     scored = F.round(F.col("share") * F.col("score"), digits)
     of = truth.select("user_id", "item_id").join(items.select("item_id", "category", "score"), "item_id").join(shares, ["user_id", "category"], "left")
     asked = written(of.select("user_id", "item_id", F.coalesce(scored, F.lit(0.0)).alias("own")), "asked")
@@ -92,11 +108,12 @@ def shared_ranks(truth: DataFrame, seen: DataFrame, shares: DataFrame, items: Da
     equal = F.round(F.col("share") * F.col("level.score"), digits) == F.col("own")
     met = met.withColumns({"tied": equal, "more": F.col("level.above") + F.when(equal, F.lit(0)).otherwise(F.col("level.n"))})
     met = written(met, "met")
-    per_score = F.concat_ws("|", F.col("category"), F.col("score"))
-    ties = met.where("tied").select(F.concat_ws("|", F.col("category"), F.col("level.score")).alias("group"), "user_id", F.col("item_id"))
-    zero = asked.where("own = 0").join(shares.select("user_id", "category"), "user_id").select(F.col("category").alias("group"), "user_id", "item_id")
+    none = F.lit(0).cast(items.schema["score"].dataType)  # no positive score
+    group = lambda score: F.struct(F.col("category").alias("category"), score.alias("score")).alias("group")
+    ties = met.where("tied").select(group(F.col("level.score")), "user_id", F.col("item_id"))
+    zero = asked.where("own = 0").join(shares.select("user_id", "category"), "user_id").select(group(none), "user_id", "item_id")
     positive = items.where("score > 0")
-    counted = count_before(positive.select(per_score.alias("group"), "item_id").unionByName(positive.select(F.col("category").alias("group"), "item_id")), ties.withColumn("sign", F.lit(1)).unionByName(zero.withColumn("sign", F.lit(-1))))
+    counted = count_before(positive.select(group(F.col("score")), "item_id").unionByName(positive.select(group(none), "item_id")), ties.withColumn("sign", F.lit(1)).unionByName(zero.withColumn("sign", F.lit(-1))))
     more = met.groupBy("user_id", "item_id").agg(F.sum("more").alias("more"))
     tied = counted.groupBy("user_id", "item_id").agg(F.sum(F.col("before") * F.col("sign")).alias("tied"))
     rest = count_before(items.select(F.lit("all").alias("group"), "item_id"), asked.where("own = 0").select(F.lit("all").alias("group"), "user_id", "item_id")).select("user_id", "item_id", F.col("before").alias("rest"))

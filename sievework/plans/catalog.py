@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("layers", "evaluation", "evidence", "operations")
+MODULES = ("layers", "evaluation", "evidence", "operations", "serving")
 
 
 def queries() -> dict:

@@ -52,3 +52,21 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes and sha256 of each file; contents never leave the executors."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_balanced(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Writes files of about the session's advisory partition size, partitioned by `by`.
+
+    The rebalance hint lets the runtime sizes of the shuffle decide: small partitions are joined and a hot value of `by`
+    is cut into several files, where a fixed number of partitions would give it one.
+    """
+    balanced = df.hint("rebalance", *[F.col(c) for c in by]) if by else df.hint("rebalance")
+    balanced.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def write_in_order(df: DataFrame, path: str, order: tuple[str, ...], rows_per_file: int = 1_000_000) -> None:
+    """Parquet files whose names ascend with `order`, sorted inside, so that reading file after file gives the order.
+
+    Ranges are sorted side by side by the executors; nothing passes through the driver.
+    """
+    df.sort(*order).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
