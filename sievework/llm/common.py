@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +34,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievework/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _TABLES.append(path)
+    _TABLES[path] = _OWNER.get()
     out = spark.read.schema(df.schema).parquet(path)
     out._sievework_path = path
     return out
 
 
-#: Tables of this session that `written` made and nobody has deleted.
-_TABLES: list[str] = []
+#: Tables of this session that `written` made and nobody has deleted, each with its owner.
+_TABLES: dict[str, str | None] = {}
+_OWNER: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Tables that `written` makes inside belong to the owner."""
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _TABLES.remove(path)
+    del _TABLES[path]
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -56,12 +69,10 @@ def dropped(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession, *kept: DataFrame) -> None:
-    """Deletes all tables that `written` made, but for those that `kept` reads."""
-    files = [f for df in kept for f in df.inputFiles()]
-    for path in list(_TABLES):
-        if not any(path.rsplit("/", 1)[1] in f for f in files):
-            _delete(spark, path)
+def release(spark: SparkSession, owner: str) -> None:
+    """Deletes the tables of the owner; results of anyone else stay."""
+    for path in [p for p, o in _TABLES.items() if o == owner]:
+        _delete(spark, path)
 
 
 def gapless(df: DataFrame, group: list[str], order: list[str], buckets: int, name: str = "slot") -> DataFrame:

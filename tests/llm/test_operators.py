@@ -550,3 +550,23 @@ def test_pipeline_keeps_clashing_columns_and_clean_documents(spark, tmp_path):
     (tmp_path / "sf").mkdir()
     docs.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "sf")).count() >= len(left)
+
+
+def test_release_leaves_tables_of_others(spark):
+    from sievework.llm.common import dropped, owned, release, written
+
+    rows = spark.range(5)
+    free = written(rows, "free")
+    with owned("a"):
+        mine = written(rows, "mine")
+        with owned("b"):
+            other = written(rows, "other")
+        again = written(rows, "again")
+    release(spark, "a")
+    assert free.count() == other.count() == 5
+    for gone in (mine, again):
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+            gone.count()
+    dropped(other, mine)
+    release(spark, "b")
+    assert free.count() == 5
