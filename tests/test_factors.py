@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.operators import factors, models
+from sievework.plans import evaluation
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +83,36 @@ def test_als_ranks(spark):
     ranks = {(r["user_id"], r["item_id"]): r["rank"] for r in found.ranks.collect()}
     assert len(ranks) == truth.count() and all(order[a, n - 1] == b for (a, b), n in ranks.items())
     assert {(r["user_id"], r["position"]): r["item_id"] for r in found.top.collect()} == {(a, p + 1): int(order[a, p]) for a in range(33) for p in range(5)}
+
+
+@pytest.mark.parametrize("big", [2, 5])
+def test_classes_of_equal_vectors(spark, monkeypatch, big):
+    """Large classes, ties between classes and with single items, cold users; columns are counted, not items."""
+    rnd = np.random.default_rng(5)
+    u, v = rnd.integers(-2, 3, (19, 3)).astype(float), rnd.integers(-1, 2, (90, 3)).astype(float)
+    u[3] = u[11] = 0
+    v[::3] = 0
+    users = spark.createDataFrame([(100 + i, x.tolist()) for i, x in enumerate(u)], "user_id long, vec array<double>")
+    items = spark.createDataFrame([(3 * i, x.tolist()) for i, x in enumerate(v)], "item_id long, vec array<double>")
+    seen = sorted({(100 + int(a), 3 * int(b)) for a, b in rnd.integers(0, (19, 90), (200, 2))})
+    truth = sorted({(100 + int(a), 3 * int(b)) for a, b in rnd.integers(0, (19, 90), (300, 2))} - set(seen))
+    score, masked, order = dense(u, v, seen)
+    pair = lambda rows: spark.createDataFrame(rows, "user_id long, item_id long")
+    found = factors.product(users, items, pair(truth), pair(seen), 6, 7, 8, big)
+    assert {(r["user_id"], r["item_id"]): r["rank"] for r in found.ranks.collect()} == {(a, b): int(np.flatnonzero(order[a - 100] == b // 3)[0]) + 1 for a, b in truth}
+    assert {(r["user_id"], r["position"]): r["item_id"] for r in found.top.collect()} == {(100 + a, p + 1): 3 * int(order[a, p]) for a in range(19) for p in range(6)}
+    assert {r["user_id"]: (r["low"], r["high"]) for r in found.ranges.collect()} == {100 + a: (score[a].min(), score[a].max()) for a in range(19)}
+    _, sided, classes = found._sides
+    assert classes.count() + sided.where("cls is null").count() < 60 and sided.where("cls is not null and vec is not null").count() == 0
+
+
+def test_norms_are_worked_out_once(spark):
+    """Nested unit vectors: the plan holds each norm once, not once for every component of every level."""
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(models.l2(models.l2(models.l2(F.col("v")))).alias("v"))
+    assert np.allclose([r[0] for r in df.collect()], [[0.6, 0.8], [0, 0]])
+    assert df._jdf.queryExecution().optimizedPlan().toString().upper().count("SQRT(") == 3
+
+
+def test_arms_read_written_interactions(spark):
+    train = evaluation._splits(spark, "/root/testdata/sf0.001")[1]
+    assert all("/interactions-" in f for f in train.inputFiles())
