@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,26 +16,88 @@ def unit(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", l2(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
 
 
-#: Rows of a stated query set that meet all vectors at once.
-BLOCK = 4096
+#: Queries and vectors of one block product, the least number of blocks that vectors are cut into, and queries at a time.
+BLOCK, VECTORS, LEAST, TILE = 4096, 65_536, 64, 64
+#: Scores of a product that lie this near to a query's k-th best are worked out again, term by term.
+SLACK = 1e-8
 
+_NEAR = "query long, vec_id long, score double"
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(query, vec_id, score, position): cosine descending, id ascending. The query set is a stated one.
 
-    A set of at most `block` queries is broadcast against the vectors; a larger one is joined block by block.
+def _matrix(column: pa.ChunkedArray, dtype=float) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(flat), -1)
+
+
+def _nearest(k: int, coded: bool) -> Callable[[pa.Table], pa.Table]:
+    """Of one block: each query's k best vectors by the product or, if coded, by distance among those that share a code.
+
+    The product only finds what may be among the best; scores are sums in the order of the components, as `dot` adds.
     """
-    q = queries.select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
-    n = q.count()
-    blocks = max(1, -(-n // block))
-    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
-    out = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-        scored = vectors.join(F.broadcast(part)).where("vec_id <> query").select("query", "vec_id", F.round(dot(F.col("v"), F.col("qv")), 9).alias("score"))
-        top = scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out
+
+    def run(rows: pa.Table) -> pa.Table:
+        asking = rows["asked"].to_numpy(zero_copy_only=False).astype(bool)
+        q, of = rows.filter(pa.array(asking)), rows.filter(pa.array(~asking))
+        query, ids = q["vec_id"].to_numpy(), of["vec_id"].to_numpy()
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        x, v = (_matrix(t["v"]) if len(t) else None for t in (q, of))
+        codes = [_matrix(t["codes"], np.int64) if coded and len(t) else None for t in (q, of)]
+        for s in range(0, len(query) if len(ids) else 0, TILE):
+            tile, here = x[s : s + TILE], query[s : s + TILE]
+            score = tile @ v.T
+            if coded:
+                score = 2 * score - (v * v).sum(1)  # falls as the distance grows
+                mine, theirs = codes[0][s : s + TILE], codes[1]
+                shared = np.zeros(score.shape, bool)
+                for t in range(mine.shape[1]):
+                    shared |= mine[:, t][:, None] == theirs[:, t][None]
+                score[~shared] = -np.inf
+            score[here[:, None] == ids[None]] = -np.inf
+            least = score.min(1) if len(ids) <= k else np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+            row, column = np.nonzero((score >= least[:, None] - SLACK * np.maximum(1, np.abs(least))[:, None]) & (score > -np.inf))
+            exact = np.zeros(len(row))
+            for d in range(x.shape[1]):
+                a, b = v[column, d], tile[row, d]
+                exact += (a - b) ** 2 if coded else a * b
+            exact = -np.sqrt(exact) if coded else exact
+            order = np.lexsort((ids[column], -(exact if coded else np.round(exact, 9)), row))
+            row, column, exact = row[order], column[order], exact[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append((here[row[kept]], ids[column[kept]], exact[kept]))
+        return pa.table(dict(zip(("query", "vec_id", "score"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
+
+    return run
+
+
+def _by_blocks(vectors: DataFrame, queries: DataFrame, k: int, block: int, cell: bool = False, coded: bool = False) -> DataFrame:
+    """(query, vec_id, score): the k best of each block of vectors for each query. With `cell` only rows of one cell meet.
+
+    A vector travels once for every `block` queries, a query once for every VECTORS vectors (of its cells); what leaves a
+    block is k rows for each query. Vectors that are null have no score.
+    """
+    n, asked = vectors.count(), queries.count()
+    qb, vb = max(1, -(-asked // block)), max(1, -(-n // min(VECTORS, max(1024, -(-n // LEAST)))))
+    if cell:
+        most = vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+        vb = max(1, -(-most // VECTORS))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    held = ["vec_id", "v", *(["codes"] if coded else [])]
+    at = F.col("cell") if cell else F.lit(0)
+    side = lambda df, asking, q, v: df.where("v is not null").select(at.cast("int").alias("cell"), q.alias("qb"), v.alias("vb"), F.lit(asking).alias("asked"), *held)
+    rows = side(vectors, False, every(qb), own(vb)).unionByName(side(queries, True, own(qb), every(vb)))
+    return rows.groupBy("cell", "qb", "vb").applyInArrow(_nearest(k, coded), _NEAR)
+
+
+def _first(found: DataFrame, k: int, *order: Column) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(*order, "vec_id")
+    return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+
+
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(query, vec_id, score, position): cosine descending, id ascending. The query set is a stated one, met by blocks."""
+    found = _by_blocks(vectors, queries, k, block).withColumn("score", F.round("score", 9))
+    return _first(found, k, F.col("score").desc())
 
 
 def quantise(vec: Column) -> Column:
@@ -58,12 +120,20 @@ def lsh(vectors: DataFrame, seed: int = 7, length: float = 0.5, tables: int = 8)
     return BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(frame), frame
 
 
-def approx_top(index, frame: DataFrame, queries: DataFrame, k: int, radius: float) -> DataFrame:
-    """Top k among vectors that share a bucket with a query and lie within the radius."""
-    asked = frame.join(queries.select("vec_id"), "vec_id", "left_semi")
-    near = index.approxSimilarityJoin(asked, frame, radius, "d").where("datasetA.vec_id <> datasetB.vec_id")
-    w = Window.partitionBy("query").orderBy("d", "vec_id")
-    return near.select(F.col("datasetA.vec_id").alias("query"), F.col("datasetB.vec_id").alias("vec_id"), "d").withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+def approx_top(index, frame: DataFrame, queries: DataFrame, k: int, radius: float, block: int = BLOCK) -> DataFrame:
+    """(query, vec_id, d, position): top k among vectors that share a bucket with a query and lie within the radius.
+
+    Buckets are compared in blocks: wide ones hold most pairs, which no row stands for.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    hashed = index.transform(frame)
+    tables = index.getNumHashTables()
+    codes = F.array(*[vector_to_array(F.get("hashes", F.lit(i)))[0].cast("long") for i in range(tables)])
+    coded = hashed.select("vec_id", "v", codes.alias("codes"))
+    found = _by_blocks(coded, coded.join(queries.select("vec_id"), "vec_id", "left_semi"), k, block, coded=True)
+    near = found.select("query", "vec_id", (-F.col("score")).alias("d")).where(F.col("d") < radius)
+    return _first(near, k, F.col("d"))
 
 
 def overlap(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:
@@ -116,13 +186,11 @@ def nearest_cells(vectors: DataFrame, centres: np.ndarray, probes: int) -> DataF
 def ivf_top(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int) -> DataFrame:
     """(query, vec_id, score, position) among the vectors of the `probes` cells nearest to each query.
 
-    index: `nearest_cells(vectors, centres, 1)`, every vector in its one cell. They meet by an equi-join on the cell, which
-    adaptive execution splits where a cell is large.
+    index: `nearest_cells(vectors, centres, 1)`, every vector in its one cell. They meet by blocks of a cell.
     """
-    asked = nearest_cells(queries.select(F.col("vec_id").alias("query"), "v"), centres, probes).withColumnRenamed("v", "qv")
-    scored = index.join(asked, "cell").where("vec_id <> query").select("query", "vec_id", F.round(dot(F.col("v"), F.col("qv")), 9).alias("score"))
-    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+    asked = nearest_cells(queries.select("vec_id", "v"), centres, probes)
+    found = _by_blocks(index, asked, k, BLOCK, cell=True).withColumn("score", F.round("score", 9))
+    return _first(found, k, F.col("score").desc())
 
 
 def compared_share(index: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:

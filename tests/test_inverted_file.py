@@ -32,3 +32,25 @@ def test_few_and_equal_vectors(spark):
     top = vectors.ivf_top(vectors.nearest_cells(u, centres, 1), u.where("vec_id = 2"), centres, 3, 8)
     assert [(r["position"], r["vec_id"]) for r in top.orderBy("position").collect()] == [(1, 0), (2, 1), (3, 3)]
     assert vectors.fit_centres(u.limit(0), 8).shape == (0, 0)
+
+
+def test_search_makes_no_row_for_a_pair(spark):
+    """Exact and hashed lists come from block products, whatever the blocks; equal vectors go by id."""
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(400, 8))
+    x[200:260] = x[7]
+    u = table(spark, x)
+    asked = u.where("vec_id % 10 = 7")
+    exact = vectors.cosine_top(u, asked, 5, block=6)
+    assert "Join" not in exact._jdf.queryExecution().optimizedPlan().toString()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(score, -np.inf)
+    order = np.argsort(-score, axis=1, kind="stable")
+    want = {(a, p + 1): int(order[a, p]) for a in range(7, 400, 10) for p in range(5)}
+    assert {(r["query"], r["position"]): r["vec_id"] for r in exact.collect()} == want
+    index, frame = vectors.lsh(u, length=50.0)  # each table's buckets lie on both sides of 0
+    near = vectors.approx_top(index, frame, asked, 5, 2.1, block=6)
+    assert "Join" not in str(near._jdf.queryExecution().optimizedPlan().toString()).replace("Join LeftSemi", "")
+    assert vectors.overlap(exact, near, 5).first()[0] > 0.9
+    assert {r["vec_id"] for r in near.where("query = 7").collect()} == set(range(200, 205))
