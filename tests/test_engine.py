@@ -71,6 +71,27 @@ def test_kcore_cascade(spark):
     assert rows(kcore(spark.createDataFrame(edges, "user_id string, item_id string"), 9)[0]) == []
 
 
+def test_kcore_runs_no_pass_that_drops_nothing(spark, monkeypatch):
+    from sievework.operators import kcore as module
+
+    names, plain = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or plain(df, name))
+    edges = [("U1", "P1"), ("U1", "P2"), ("U2", "P1"), ("U2", "P2"), ("U3", "P2"), ("U3", "P3"), (None, "P1"), ("U1", None)]
+    core, funnel = kcore(spark.createDataFrame(edges, "user_id string, item_id string"), 2)
+    assert rows(core) == edges[:4] and names.count("kcore") == 3
+    assert [(f["iteration"], f["rows"], f["users"], f["items"], f["converged"]) for f in funnel] == [(0, 8, 3, 3, False), (1, 5, 3, 2, False), (2, 4, 2, 2, False), (3, 4, 2, 2, True)]
+
+
+def test_masked_top_fills_only_the_slots_a_user_needs(spark):
+    """Seen items late in the order take no slot; results are those of a plain list."""
+    ranked = spark.createDataFrame([(100 - r, r) for r in range(1, 61)], "item_id long, rank long")
+    seen = {1: [1, 2, 4, 50, 51, 60], 2: [], 3: list(range(1, 59))}
+    pairs = spark.createDataFrame([(u, 100 - r) for u, rs in seen.items() for r in rs], "user_id long, item_id long")
+    got = ranking.masked_top(spark.createDataFrame([(u,) for u in seen], "user_id long"), pairs, ranked, 3).collect()
+    want = {(u, i + 1): 100 - r for u, rs in seen.items() for i, r in enumerate([r for r in range(1, 61) if r not in rs][:3])}
+    assert {(r["user_id"], r["position"]): r["item_id"] for r in got} == want
+
+
 def test_window_edges(spark):
     at = dt.datetime(2020, 1, 31)
     day = dt.timedelta(days=1)
