@@ -19,10 +19,16 @@ def user_stats(inter: DataFrame, splits: Splits) -> DataFrame:
 
 
 def popularity_grid(inter: DataFrame, as_ofs: list[str], windows: list[int]) -> DataFrame:
-    """Interactions and distinct users per (as_of, window_days, item): one scan, a row for each cell that it is in."""
-    cells = F.array(*[F.struct(F.lit(a).cast("timestamp_ntz").alias("as_of"), F.lit(w).alias("window_days")) for a in as_ofs for w in windows])
-    held = F.filter(cells, lambda c: in_window(F.col("ts"), c["as_of"], c["window_days"]))
-    return inter.select("user_id", "item_id", F.explode(held).alias("c")).groupBy("c.as_of", "c.window_days", "item_id").agg(F.count(F.lit(1)).alias("n_interactions"), F.count_distinct("user_id").alias("n_unique_users"))
+    """Interactions and distinct users per (as_of, window_days, item): one scan, a count for each cell.
+
+    A user's interactions with an item become one row with a count for each cell, so no row is made for a row and a cell
+    before an item's counts are added up; users without a name count as interactions only.
+    """
+    cells = [(F.lit(a).cast("timestamp_ntz"), w) for a in as_ofs for w in windows]
+    per = inter.groupBy("user_id", "item_id").agg(*[F.count_if(in_window(F.col("ts"), a, F.lit(w))).alias(f"n{i}") for i, (a, w) in enumerate(cells)])
+    sums = [x for i in range(len(cells)) for x in (F.sum(f"n{i}").alias(f"n{i}"), F.count_if((F.col(f"n{i}") > 0) & F.col("user_id").isNotNull()).alias(f"u{i}"))]
+    rows = F.array(*[F.struct(a.alias("as_of"), F.lit(w).alias("window_days"), F.col(f"n{i}").alias("n_interactions"), F.col(f"u{i}").alias("n_unique_users")) for i, (a, w) in enumerate(cells)])
+    return per.groupBy("item_id").agg(*sums).select("item_id", F.explode(rows).alias("c")).where("c.n_interactions > 0").select("c.as_of", "c.window_days", "item_id", "c.n_interactions", "c.n_unique_users")
 
 
 def item_train_stats(inter: DataFrame, splits: Splits) -> DataFrame:

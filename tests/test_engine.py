@@ -257,3 +257,13 @@ def test_shared_ranks_against_brute_force(spark):
         spark.createDataFrame(shares, "user_id long, category string, share double"), spark.createDataFrame(items, "item_id long, category string, score double"), 9,
     )
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_popularity_grid_makes_no_row_for_a_row_and_a_cell(spark):
+    at = lambda *d: dt.datetime(*d)
+    data = [(1, 7, at(2020, 1, 1)), (1, 7, at(2020, 1, 20)), (2, 7, at(2020, 1, 25)), (2, 8, at(2019, 1, 1)), (None, 8, at(2020, 1, 30)), (3, 9, at(2021, 1, 1))]
+    grid = features.popularity_grid(spark.createDataFrame(data, "user_id long, item_id long, ts timestamp_ntz"), ["2020-01-31"], [10, 0])
+    assert sorted(tuple(r)[1:] for r in grid.collect()) == [(0, 7, 3, 2), (0, 8, 2, 1), (10, 7, 1, 1), (10, 8, 1, 0)]
+    assert "Expand" not in grid._jdf.queryExecution().optimizedPlan().toString()
+    assert grid._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    assert grid._jdf.queryExecution().optimizedPlan().toString().index("Generate") < grid._jdf.queryExecution().optimizedPlan().toString().index("Aggregate")
