@@ -25,7 +25,8 @@ def churn_share(truth: DataFrame, train: DataFrame) -> DataFrame:
     """Share of truth on items with at most 4 train interactions; empty inputs raise."""
     if truth.isEmpty() or train.isEmpty():
         raise ValueError("a churn share of nothing")
-    return support(truth, train).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("n_train") <= 4).cast("double")).alias("share"))
+    rows = support(truth.groupBy("item_id").agg(F.count(F.lit(1)).alias("rows")), train)  # a row for each item meets the counts
+    return rows.agg(F.sum("rows").alias("n"), (F.sum(F.when(F.col("n_train") <= 4, F.col("rows")).otherwise(0)) / F.sum("rows")).alias("share"))
 
 
 def gate_verdict(share: Column) -> Column:
