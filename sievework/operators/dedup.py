@@ -41,12 +41,23 @@ def compare_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, F.col("x.table") == F.col("y.table"), "full_outer").select(F.coalesce("x.table", "y.table").alias("table"), status.alias("status"))
 
 
-def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of one side only, with multiplicity: side, then the columns."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+def difference(a: DataFrame, b: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows of one side only, with multiplicity: side, then the columns.
+
+    Both sides are counted in one pass, left rows up and right rows down. With n partitions a task's groups stay as
+    many as n makes them.
+    """
+    both = a.withColumn("__d", F.lit(1)).union(b.withColumn("__d", F.lit(-1)))
+    net = (both.repartition(n, *a.columns) if n else both).groupBy(*a.columns).agg(F.sum("__d").alias("__d")).where("__d <> 0")
+    times = F.explode(F.array_repeat(F.when(F.col("__d") > 0, "left").otherwise("right"), F.abs("__d").cast("int")))
+    return net.select(*a.columns, times.alias("side"))
 
 
-def tie_groups(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Keys whose latest instant holds several rows, with how many."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("__last", F.max(ts).over(w)).where(F.col(ts) == F.col("__last")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def tie_groups(df: DataFrame, keys: list[str], ts: str, n: int | None = None) -> DataFrame:
+    """Keys whose latest instant holds several rows, with how many.
+
+    Rows of an instant are counted, then the count of the last instant is taken: no rows of a key are sorted or kept. With
+    n partitions a task's groups stay as many as n makes them, and one shuffle serves both.
+    """
+    per = (df.repartition(n, *keys) if n else df).groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(*keys).agg(F.max_by("n", ts).alias("n")).where("n > 1")

@@ -120,7 +120,7 @@ def keep_latest(spark, sf):
 
 @query("tie_groups", f"WITH {D.RAW} SELECT user_id, item_id, count(*) AS n FROM (SELECT *, max(ts) OVER (PARTITION BY user_id, item_id) AS last FROM raw) WHERE ts = last GROUP BY 1, 2 HAVING count(*) > 1")
 def tie_groups(spark, sf):
-    return dedup.tie_groups(D.raw(spark, sf), D.KEYS, "ts")
+    return dedup.tie_groups(D.raw(spark, sf, n := D.parts(spark, sf)), D.KEYS, "ts", n)
 
 
 @query("waterfall", f"""WITH {D.INTER}, {_BAD} SELECT 'superseded' AS reason, (SELECT count(*) FROM raw) - (SELECT count(*) FROM inter) AS rows UNION ALL SELECT 'kept', (SELECT count(*) FROM inter)
@@ -138,7 +138,7 @@ def waterfall(spark, sf):
  SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def content_difference(spark, sf):
     rows = D.table(spark, sf, "lineitem")
-    return dedup.difference(rows.where("l_quantity < 40").select("l_orderkey", "l_linenumber"), rows.where("l_quantity > 10").select("l_orderkey", "l_linenumber"))
+    return dedup.difference(rows.where("l_quantity < 40").select("l_orderkey", "l_linenumber"), rows.where("l_quantity > 10").select("l_orderkey", "l_linenumber"), D.parts(spark, sf))
 
 
 @query("content_hash")

@@ -71,3 +71,20 @@ def test_churn_share_meets_the_counts_by_item(spark):
     train = spark.createDataFrame([(u, 0) for u in range(5)] + [(1, 1), (2, None), (3, None)], "user_id long, item_id long")
     assert tuple(analysis.churn_share(truth, train).first()) == (21, 14 / 21)
     assert "rows" in logical(analysis.churn_share(truth, train))  # a row for each item, not for each truth pair
+
+
+def test_difference_counts_both_sides_in_one_pass(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (None, None), (2, "y")], "k long, s string")
+    b = spark.createDataFrame([(1, "x"), (2, "y"), (None, None), (None, None), (3, None)], "k long, s string")
+    got = dedup.difference(a, b, 7)
+    assert plan(got).count("Exchange") == 1
+    assert rows(got) == sorted([(1, "x", "left"), (1, "x", "left"), (None, None, "right"), (3, None, "right")], key=str)
+    assert got.columns == ["k", "s", "side"]
+
+
+def test_tie_groups_sort_nothing(spark):
+    at = [dt.datetime(2020, 1, d) for d in (1, 2)]
+    df = spark.createDataFrame([(1, 1, at[0]), (1, 1, at[1]), (1, 1, at[1]), (2, 1, at[0]), (2, 1, at[0]), (2, 1, at[1]), (None, 3, at[0]), (None, 3, at[0]), (4, 4, None), (4, 4, None)], "u long, p long, ts timestamp_ntz")
+    got = dedup.tie_groups(df, ["u", "p"], "ts", 5)
+    assert "Window" not in plan(got) and plan(got).count("Exchange") == 1
+    assert rows(got) == sorted([(1, 1, 2), (None, 3, 2)], key=str)
