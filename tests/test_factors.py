@@ -1,6 +1,9 @@
 """Blocked factor products against a dense product on the driver."""
 
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +119,35 @@ def test_norms_are_worked_out_once(spark):
 def test_arms_read_written_interactions(spark):
     train = evaluation._splits(spark, "/root/testdata/sf0.001")[1]
     assert all("/interactions-" in f for f in train.inputFiles())
+
+
+def test_many_truth_items_of_a_user(small, monkeypatch):
+    """Sorted rows give the ranks that single comparisons give, with ties and over several blocks."""
+    u, v, users, items, seen, truth, seen_df, truth_df = small
+    ranks = []
+    for many in (1, 3, 10**9):
+        monkeypatch.setattr(factors, "MANY", many)
+        rows = factors._counts(_laid_out(u, v, truth))
+        ranks.append({(a, b): n for kind, a, b, n in zip(*(rows[c].to_pylist() for c in ("kind", "user_id", "item_id", "n")), strict=True) if kind == factors.ABOVE})
+    _, _, order = dense(u, v, [])
+    assert ranks[0] == ranks[1] == ranks[2] == {(a, b): int(np.flatnonzero(order[a - 100] == b // 3)[0]) for a, b in truth}
+
+
+def _laid_out(u, v, truth):
+    score = np.round(u @ v.T, 9) + 0.0
+    rows = [(factors.USER, 100 + i, None, x.tolist(), None, None) for i, x in enumerate(u)] + [(factors.ITEM, None, 3 * i, x.tolist(), None, None) for i, x in enumerate(v)]
+    rows += [(factors.TRUTH, a, b, None, float(score[a - 100, b // 3]), -1) for a, b in truth]
+    kinds = (("kind", pa.int32()), ("user_id", pa.int64()), ("item_id", pa.int64()), ("vec", pa.list_(pa.float64())), ("score", pa.float64()), ("n", pa.int64()))
+    return pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+
+
+def test_columns_travel_once_for_large_blocks_of_users(spark, monkeypatch):
+    """The blocks of a product of many users follow memory, not a small count of users."""
+    monkeypatch.setattr(factors, "written", lambda df, name: df)
+    users = spark.range(60_000).select(F.col("id").alias("user_id"), F.array(F.lit(1.0)).alias("vec"))
+    items = spark.range(5).select(F.col("id").alias("item_id"), F.array(F.lit(2.0)).alias("vec"))
+    none = spark.range(0).select(F.col("id").alias("user_id"), F.col("id").alias("item_id"))
+    found = factors.product(users, items, none, none)
+    plan = found._laid(users, [(items, factors.ITEM)], [], "x", factors._counts)._jdf.queryExecution().logical().toString()
+    cut = [int(x) for x in re.findall(r"sequence\(0, (\d+)", plan)]
+    assert max(cut) < 24
