@@ -151,3 +151,20 @@ def test_columns_travel_once_for_large_blocks_of_users(spark, monkeypatch):
     plan = found._laid(users, [(items, factors.ITEM)], [], "x", factors._counts)._jdf.queryExecution().logical().toString()
     cut = [int(x) for x in re.findall(r"sequence\(0, (\d+)", plan)]
     assert max(cut) < 24
+
+
+@pytest.mark.parametrize("wide", [3, 8, 16_384])
+def test_best_partitions_a_users_scores_once(small, monkeypatch, wide):
+    """The k best over several chunks of columns, with ties and seen items; later chunks are held against the first one's bound."""
+    u, v, users, items, seen, truth, *_ = small
+    rows = _laid_out(u, v, [])
+    mask = [(factors.SEEN, a, b, None, None, None) for a, b in seen]
+    rows = pa.concat_tables([rows, pa.table([pa.array(c, t) for c, t in zip(zip(*mask, strict=True), rows.schema.types, strict=True)], names=rows.column_names)])
+    taken, partition = [], np.partition
+    monkeypatch.setattr(factors, "WIDE", wide)
+    monkeypatch.setattr(factors.np, "partition", lambda x, *a, **b: taken.append(len(x)) or partition(x, *a, **b))
+    got = factors._best(4)(rows)
+    _, masked, order = dense(u, v, seen)
+    want = {(100 + a, 3 * int(order[a, p]), masked[a, order[a, p]]) for a in range(23) for p in range(4)}
+    assert set(zip(*(got[c].to_pylist() for c in ("user_id", "item_id", "score")), strict=True)) == want
+    assert wide != 8 or 23 <= sum(taken) < 3 * 23
