@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.operators.numbering import number, numbered_sum
@@ -104,43 +104,58 @@ def _check_apart(shares: DataFrame, items: DataFrame, digits: int) -> None:
         raise ValueError(f"category {close['category']}: scores {close['gap']} apart fall together at a share of {close['share']} and {digits} digits")
 
 
+def _reached(share: Column, own: Column, digits: int) -> Column:
+    """Of the ascending `levels` the least whose rounded product with a share is above 0 and at least `own`; an array of one, or none.
+
+    Products are compared as they are, less than a unit below; as levels are further apart (`_check_apart`), that leaves
+    one that isn't reached at most, and two are rounded. Where doubles are too coarse for that, all are.
+    """
+    unit = 10.0**-digits
+    least = F.array(F.try_divide(F.greatest(own, F.lit(unit)) - 0.75 * unit, share))  # worked out once, not for each level
+    below = F.get(F.transform(least, lambda t: F.size(F.filter("levels", lambda x: ~F.coalesce(x["score"] >= t, F.lit(False))))), F.lit(0))
+    near = F.when(own < 1e14 * unit, F.slice("levels", below + 1, 2)).otherwise(F.col("levels"))
+    product = lambda x: F.round(share * x["score"], digits)
+    return F.slice(F.filter(near, lambda x: (product(x) >= own) & (product(x) > 0)), 1, 1)
+
+
 def shared_ranks(truth: DataFrame, seen: DataFrame, shares: DataFrame, items: DataFrame, digits: int) -> DataFrame:
     """(user_id, item_id, rank) of truth items under the score round(share of the item's category * score, digits).
 
     shares: (user_id, category, share); items: (item_id, category, score), null categories never match. Users meet
     only the categories they have: a category's items above a score are a running count over its distinct scores
     (whole counts of interactions, whose distinct values grow with the square root of their sum), ties are counted by
-    `count_before`, and a user's own seen items are taken off. Items without a score follow by id. Scores of one
+    `count_before`, once for each item and score, and a user's own seen items are taken off. Items without a score
+    follow by id. Truth pairs and item ids are unique. Scores of one
     category must differ after rounding, and be above 0: where the least gap of a category times the least share in it
     could round away, ValueError is raised, as ranks would be wrong.
     """
     _check_apart(shares, items, digits)
     scored = F.round(F.col("share") * F.col("score"), digits)
-    of = truth.select("user_id", "item_id").join(items.select("item_id", "category", "score"), "item_id").join(shares, ["user_id", "category"], "left")
-    asked = written(of.select("user_id", "item_id", F.coalesce(scored, F.lit(0.0)).alias("own")), "asked")
+    indexed = number(items.select("item_id", "category", "score"), [F.col("item_id")], "idx")
+    of = truth.select("user_id", "item_id").join(indexed, "item_id").join(shares, ["user_id", "category"], "left")
+    asked = written(of.select("user_id", "item_id", "idx", F.coalesce(scored, F.lit(0.0)).alias("own")), "asked")
     levels = items.where("score > 0").groupBy("category", "score").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("category").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     levels = levels.withColumn("above", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     table = levels.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("score", "above", "n"))).alias("levels"))
     met = asked.join(shares.select("user_id", "category", "share"), "user_id").join(table, "category")
-    reached = F.filter("levels", lambda x: (F.round(F.col("share") * x["score"], digits) >= F.col("own")) & (F.round(F.col("share") * x["score"], digits) > 0))
-    met = met.withColumn("level", F.try_element_at(reached, F.lit(1))).where("level is not null").drop("levels")
+    met = met.select("user_id", "item_id", "category", "share", "own", F.explode(_reached(F.col("share"), F.col("own"), digits)).alias("level"))
     equal = F.round(F.col("share") * F.col("level.score"), digits) == F.col("own")
     met = met.withColumns({"tied": equal, "more": F.col("level.above") + F.when(equal, F.lit(0)).otherwise(F.col("level.n"))})
-    met = written(met, "met")
+    met = written(met.select("user_id", "item_id", "category", F.col("level.score").alias("score"), "tied", "more"), "met")
     none = F.lit(0).cast(items.schema["score"].dataType)  # no positive score
     group = lambda score: F.struct(F.col("category").alias("category"), score.alias("score")).alias("group")
-    ties = met.where("tied").select(group(F.col("level.score")), "user_id", F.col("item_id"))
-    zero = asked.where("own = 0").join(shares.select("user_id", "category"), "user_id").select(group(none), "user_id", "item_id")
+    ties = met.where("tied").select(group(F.col("score")), "user_id", "item_id", F.lit(1).alias("sign"))
+    zero = asked.where("own = 0").join(shares.select("user_id", "category"), "user_id").select(group(none), "user_id", "item_id", F.lit(-1).alias("sign"))
+    met_groups = ties.unionByName(zero)
     positive = items.where("score > 0")
-    counted = count_before(positive.select(group(F.col("score")), "item_id").unionByName(positive.select(group(none), "item_id")), ties.withColumn("sign", F.lit(1)).unionByName(zero.withColumn("sign", F.lit(-1))))
-    more = met.groupBy("user_id", "item_id").agg(F.sum("more").alias("more"))
-    tied = counted.groupBy("user_id", "item_id").agg(F.sum(F.col("before") * F.col("sign")).alias("tied"))
-    rest = count_before(items.select(F.lit("all").alias("group"), "item_id"), asked.where("own = 0").select(F.lit("all").alias("group"), "user_id", "item_id")).select("user_id", "item_id", F.col("before").alias("rest"))
+    # how many of a group come before an item is the same for all users, so each item is counted once in each group
+    counted = count_before(positive.select(group(F.col("score")), "item_id").unionByName(positive.select(group(none), "item_id")), met_groups.select("group", "item_id").distinct())
+    tied = met_groups.join(counted, ["group", "item_id"]).select("user_id", "item_id", (F.col("before") * F.col("sign")).alias("n"))
     mask = seen.select("user_id", "item_id").distinct().join(items.select("item_id", "category", "score"), "item_id").join(shares, ["user_id", "category"], "left")
-    mask = mask.select("user_id", "item_id", F.coalesce(scored, F.lit(0.0)).alias("own"), F.lit(1).alias("seen"))
+    mask = mask.select("user_id", "item_id", F.lit(0).cast("long").alias("idx"), F.coalesce(scored, F.lit(0.0)).alias("own"), F.lit(1).alias("seen"))
     both = asked.withColumn("seen", F.lit(0)).unionByName(mask)
     off = F.sum("seen").over(Window.partitionBy("user_id").orderBy(F.col("own").desc(), "item_id", "seen").rowsBetween(Window.unboundedPreceding, -1))
-    out = both.withColumn("off", F.coalesce(off, F.lit(0))).where("seen = 0").join(more, ["user_id", "item_id"], "left").join(tied, ["user_id", "item_id"], "left").join(rest, ["user_id", "item_id"], "left")
-    rank = 1 + F.coalesce("more", F.lit(0)) + F.coalesce("tied", F.lit(0)) + F.coalesce("rest", F.lit(0)) - F.col("off")
-    return out.select("user_id", "item_id", rank.cast("long").alias("rank"))
+    base = F.when(F.col("own") == 0, F.col("idx")).otherwise(1) - F.coalesce(off, F.lit(0))
+    rows = both.withColumn("n", base).where("seen = 0").select("user_id", "item_id", "n").unionByName(met.select("user_id", "item_id", F.col("more").alias("n"))).unionByName(tied)
+    return rows.groupBy("user_id", "item_id").agg(F.sum("n").cast("long").alias("rank"))

@@ -267,3 +267,21 @@ def test_popularity_grid_makes_no_row_for_a_row_and_a_cell(spark):
     assert "Expand" not in grid._jdf.queryExecution().optimizedPlan().toString()
     assert grid._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
     assert grid._jdf.queryExecution().optimizedPlan().toString().index("Generate") < grid._jdf.queryExecution().optimizedPlan().toString().index("Aggregate")
+
+
+def test_shared_ranks_searches_levels_and_counts_ties_once_for_an_item(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(i, rng.choice(["a", "b", None]), float(rng.choice([0, 1, 1, 2, 3, 6]))) for i in range(50)]
+    shares = [(u, c, w) for u in range(9) for c, w in zip("ab", rng.choice([(1 / 3, 2 / 3), (0.75, 0.25), (0.0, 1.0)]), strict=True)]
+    seen = [(u, i) for u in range(9) for i in rng.sample(range(50), 6)]
+    truth = [(u, i) for u in range(10) for i in rng.sample(range(50), 15) if (u, i) not in seen]
+    of = {(u, c): w for u, c, w in shares}
+    want = set()
+    for u in range(10):
+        order = sorted((-round(of.get((u, c), 0) * s, 9), i) for i, c, s in items if (u, i) not in seen)
+        want |= {(u, i, n + 1) for n, (_, i) in enumerate(order) if (u, i) in truth}
+    asked, count = [], ranking.count_before
+    monkeypatch.setattr(ranking, "count_before", lambda a, b: asked.append(b) or count(a, b))
+    frames = [spark.createDataFrame(truth, "user_id long, item_id long"), spark.createDataFrame(seen, "user_id long, item_id long"), spark.createDataFrame(shares, "user_id long, category string, share double"), spark.createDataFrame(items, "item_id long, category string, score double")]
+    assert {tuple(r) for r in ranking.shared_ranks(*frames, 9).collect()} == want
+    assert asked and all("user_id" not in a.columns and a.count() == a.distinct().count() for a in asked)
