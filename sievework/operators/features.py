@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.text import normal_tag
 from sievework.functions.times import Splits, in_window
 from sievework.operators.numbering import number
+from sievework.sources.scratch import written
 
 
 def user_stats(inter: DataFrame, splits: Splits) -> DataFrame:
@@ -46,13 +47,37 @@ def with_degrees(edges: DataFrame) -> DataFrame:
 
 def top_tags(tags: DataFrame, k: int = 10) -> DataFrame:
     """Per item its k heaviest tags (distinct users; ties by tag) as an ordered list."""
+    return _heaviest(_tag_weights(tags), k)
+
+
+def _tag_weights(tags: DataFrame) -> DataFrame:
     clean = tags.select("item_id", "user_id", normal_tag(F.col("tag")).alias("tag")).where("tag is not null")
-    weight = clean.groupBy("item_id", "tag").agg(F.count_distinct("user_id").alias("weight"))
+    return clean.groupBy("item_id", "tag").agg(F.count_distinct("user_id").alias("weight"))
+
+
+def _heaviest(weight: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("weight").desc(), "tag"))
     top = weight.withColumn("rank", rank).where(F.col("rank") <= k)
     return top.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"]).alias("tags"))
 
 
+def top_listed_tags(lists: DataFrame, k: int = 10) -> DataFrame:
+    """`top_tags` of rows (item_id, user_id, tags: one string, parted by spaces).
+
+    Where a user has one row of an item, its tags are made distinct in the row and counted where they stand, so that
+    what leaves a task is a row for each tag and not for each user and tag. Users of several rows are counted apart.
+    """
+    again = written(lists.where("user_id is not null").groupBy("item_id", "user_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("item_id").alias("i"), F.col("user_id").alias("u")), "repeated")
+    same = F.col("item_id").eqNullSafe(F.col("i")) & (F.col("user_id") == F.col("u"))
+    once = lists.join(again, same, "left_anti")
+    row = once.select("item_id", F.col("user_id").isNotNull().cast("long").alias("n"), F.explode(F.array_distinct(F.split(F.lower("tags"), " "))).alias("tag"))
+    weight = row.withColumn("tag", normal_tag(F.col("tag"))).where("tag is not null").groupBy("item_id", "tag").agg(F.sum("n").alias("weight"))
+    if not again.isEmpty():
+        several = lists.join(again, same, "left_semi").select("item_id", "user_id", F.explode(F.split("tags", " ")).alias("tag"))
+        weight = weight.unionByName(_tag_weights(several)).groupBy("item_id", "tag").agg(F.sum("weight").alias("weight"))
+    return _heaviest(weight, k)
+
+
 def text_coverage(items: DataFrame, tags: DataFrame, cutoff: str, recipe: Column) -> DataFrame:
     """How much text a catalog has before anything is embedded: measure, n, rows, share (0 where rows is 0).
 

@@ -59,9 +59,8 @@ def segments(inter: DataFrame, splits: Splits) -> DataFrame:
     return n.select("user_id", "n_train", bucket(F.col("n_train"), SEGMENT_EDGES, SEGMENTS).alias("segment"), bucket(F.col("n_train"), DEEP_EDGES, DEEP).alias("deep"))
 
 
-def tags(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    return docs.select(F.col("source").alias("item_id"), F.col("doc_id").alias("user_id"), F.explode(F.split("text", " ")).alias("tag"))
+def tag_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("source").alias("item_id"), F.col("doc_id").alias("user_id"), F.col("text").alias("tags"))
 
 
 #: The same tables for SQL.
@@ -77,4 +76,4 @@ lab AS (SELECT *, CASE WHEN ts <= TIMESTAMP '{splits.train_end}' THEN 'train' WH
 train AS (SELECT * FROM lab WHERE split = 'train'), val AS (SELECT * FROM lab WHERE split = 'val'), test AS (SELECT * FROM lab WHERE split = 'test')"""
 
 
-__all__ = ["DEEP", "DEEP_EDGES", "INTER", "KEYS", "MAIN", "RAW", "SEGMENTS", "SEGMENT_EDGES", "SPARSE", "by_user", "interactions", "items", "labelled", "part_of", "parts", "raw", "segments", "table", "tags"]
+__all__ = ["DEEP", "DEEP_EDGES", "INTER", "KEYS", "MAIN", "RAW", "SEGMENTS", "SEGMENT_EDGES", "SPARSE", "by_user", "interactions", "items", "labelled", "part_of", "parts", "raw", "segments", "table", "tag_lists"]

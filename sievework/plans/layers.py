@@ -201,7 +201,7 @@ def day_slices(spark, sf):
 @query("top_tags", """WITH t AS (SELECT source AS item_id, doc_id AS user_id, trim(lower(unnest(string_split(text, ' ')))) AS tag FROM documents), w AS (SELECT item_id, tag, count(DISTINCT user_id) AS weight FROM t WHERE tag <> '' GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, tag) AS rank FROM w) SELECT item_id, string_agg(tag, ' ' ORDER BY rank) AS tags FROM r WHERE rank <= 10 GROUP BY 1""")
 def top_tags(spark, sf):
-    return features.top_tags(D.tags(spark, sf)).select("item_id", F.array_join("tags", " ").alias("tags"))
+    return features.top_listed_tags(D.tag_lists(spark, sf)).select("item_id", F.array_join("tags", " ").alias("tags"))
 
 
 @query("item_text", """SELECT p_partkey AS item_id, concat_ws(' ', nullif(trim(regexp_replace(p_name, '\\s+', ' ', 'g')), ''), nullif(lower(p_brand), ''), nullif(p_type, '')) AS text FROM part""")

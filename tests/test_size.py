@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from sievework.operators import analysis, dedup, metrics, ranking
+from sievework.operators import analysis, dedup, features, metrics, ranking
 from sievework.plans import data as D
 
 
@@ -88,3 +88,14 @@ def test_tie_groups_sort_nothing(spark):
     got = dedup.tie_groups(df, ["u", "p"], "ts", 5)
     assert "Window" not in plan(got) and plan(got).count("Exchange") == 1
     assert rows(got) == sorted([(1, 1, 2), (None, 3, 2)], key=str)
+
+
+def test_listed_tags_leave_a_task_as_one_row_for_each_tag(spark):
+    lists = [("s", 1, "A a b  C"), ("s", 2, "b B \u0130x"), ("s", 3, None), ("s", None, "z z"), (None, 4, "b"), (None, 4, "b c"), ("t", 1, "x a"), ("t", 1, "X y"), ("t", 2, "y")]
+    df = spark.createDataFrame(lists, "item_id string, user_id long, tags string")
+    plain = df.select("item_id", "user_id", F.explode(F.split("tags", " ")).alias("tag"))
+    for k in (2, 10):
+        assert rows(features.top_listed_tags(df, k)) == rows(features.top_tags(plain, k))
+    once = df.where("item_id = 's'").repartition(1)
+    assert rows(features.top_listed_tags(once)) == [("s", ["b", "a", "c", "i\u0307x", "z"])]
+    assert "user_id" not in [x.split("#")[0] for line in plan(features.top_listed_tags(once)).splitlines() if "hashpartitioning" in line for x in line.replace("(", " ").replace(",", " ").split()]
