@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sievework.operators import analysis, dedup, features, metrics, ranking
+from sievework.functions.times import MAIN, SPARSE
 from sievework.plans import data as D
 
 
@@ -99,3 +100,15 @@ def test_listed_tags_leave_a_task_as_one_row_for_each_tag(spark):
     once = df.where("item_id = 's'").repartition(1)
     assert rows(features.top_listed_tags(once)) == [("s", ["b", "a", "c", "i\u0307x", "z"])]
     assert "user_id" not in [x.split("#")[0] for line in plan(features.top_listed_tags(once)).splitlines() if "hashpartitioning" in line for x in line.replace("(", " ").replace(",", " ").split()]
+
+
+def test_pairs_have_the_split_of_their_latest_line_and_sort_no_lines(spark):
+    sf = "/root/testdata/sf0.001"
+    for splits in (MAIN, SPARSE):
+        inter, found = D.interactions(spark, sf), D.pairs(spark, sf, splits)
+        assert rows(found) == rows(inter.select("user_id", "item_id", splits.label(F.col("ts"))))
+        assert rows(D.segments(found, splits)) == rows(D.segments(inter, splits))
+        assert rows(D.part_of(found, splits, "val").select(*D.KEYS)) == rows(D.part_of(inter, splits, "val").select(*D.KEYS))
+    at = spark.createDataFrame([(None,), (dt.datetime(1990, 1, 1),), (dt.datetime(1999, 12, 31),), (dt.datetime(2000, 6, 30),), (dt.datetime(2001, 12, 31),), (dt.datetime(2002, 1, 1),)], "ts timestamp_ntz")
+    assert [r[0] for r in at.select(MAIN.stage(F.col("ts"))).collect()] == [0, 1, 1, 2, 3, 4]
+    assert "Window" not in plan(found) and "l_linenumber" not in plan(found) and "l_quantity" not in plan(found)
