@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.llm.bloom import bloom, known
-from sievework.llm.common import dropped, table, texts_of, written
+from sievework.llm.common import dropped, table, texts_of, trimmed_worker, utf8_batches, written
 from sievework.llm.super_kmers import Words
 
 ORDER = 5
@@ -43,7 +43,7 @@ WIDTH, SHORT, FLOOR = 4.0, 1.25, 0.01
 TURN = 4_000_000
 #: So many languages' bands and discounts are broadcast.
 FEW = 10_000
-BATCH = 1_000_000
+BATCH = 400_000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
@@ -77,15 +77,9 @@ def _grams(texts: list[str], langs: list[str]) -> tuple[str, np.ndarray, np.ndar
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[str]]]:
-    """Rows with their texts and languages, about BATCH characters at a time."""
-    for batch in batches:
-        texts, langs = texts_of(batch), texts_of(batch, "lang")
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= BATCH or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1], langs[start : i + 1]
-                start, size = i + 1, 0
+    """Rows with their texts and languages, about BATCH bytes at a time: no batch is held as strings whole."""
+    for part, _, _ in utf8_batches(batches, "text", BATCH):
+        yield part, texts_of(part), texts_of(part, "lang")
 
 
 _COUNTS = "lang string, gram string, n long, docs long"
@@ -94,6 +88,7 @@ HELD = 500_000
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    trimmed_worker()
     held, rows = [], 0
 
     def total() -> list[pa.RecordBatch]:
@@ -320,15 +315,21 @@ def base_failed(n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
     return (n_words < 20) | (100 * n_repeat > 30 * n_words)
 
 
-def measured(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs`, whole, with the features, base_failed and `cost`."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.costs, _index(model.keys)))
+def sent(spark: SparkSession, model: Model) -> Broadcast:
+    """The frequent n-grams at the executors: one copy, however often documents are measured."""
+    return spark.sparkContext.broadcast((model.keys, model.costs, _index(model.keys)))
+
+
+def measured(docs: DataFrame, model: Model, shared: Broadcast | None = None) -> DataFrame:
+    """The rows of `docs`, whole, with the features, base_failed and `cost`. shared: the model as it was `sent`."""
+    shared = shared or sent(docs.sparkSession, model)
     own = [T.StructField(x, T.LongType()) for x in _FEATURES] + [T.StructField("base_failed", T.BooleanType()), T.StructField("__often", T.DoubleType()), T.StructField("__grams", T.LongType())]
     if model.rare is not None:
         docs = docs.withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(7), "text", F.coalesce("lang", F.lit("")))})
     schema = T.StructType([*docs.schema, *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed_worker()
         keys, values, index = shared.value
         for part, texts, langs in _parts(batches):
             _, key, _, doc = _grams(texts, langs)
@@ -391,10 +392,11 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, as they are. Each is measured twice rather than shuffled with its text."""
     found = model(docs)
-    slim = written(measured(docs.select("text", "lang"), found).select("lang", "cost", "base_failed"), "quality")
+    shared = sent(docs.sparkSession, found)
+    slim = written(measured(docs.select("text", "lang"), found, shared).select("lang", "cost", "base_failed"), "quality")
     # columns of the input that are named as the measures are set aside and carried
     clash = {c: f"__own_{c}" for c in docs.columns if c in {*_FEATURES, "base_failed", "cost"}}
-    rows = measured(docs.withColumnsRenamed(clash), found).withColumn("__lang", F.coalesce("lang", F.lit("")))
+    rows = measured(docs.withColumnsRenamed(clash), found, shared).withColumn("__lang", F.coalesce("lang", F.lit("")))
     kept = rows.join(bands(slim, found.languages), "__lang", "left").where(_kept(F.col("word_chars")))
     return kept.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
 

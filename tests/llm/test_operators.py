@@ -570,3 +570,17 @@ def test_release_leaves_tables_of_others(spark):
     dropped(other, mine)
     release(spark, "b")
     assert free.count() == 5
+
+
+def test_quality_holds_few_bytes_as_strings_and_sends_the_model_once(docs, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a" * 150_000, "\u00e9" * 150_000, None, "b", "", "c" * 900_000, "d"]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["x", None, "y", "z", "x", "x", "x"]})
+    parts = list(quality._parts(iter([batch])))
+    assert [t for _, part, _ in parts for t in part] == [t or "" for t in texts] and [x for _, _, langs in parts for x in langs] == ["x", "", "y", "z", "x", "x", "x"]
+    assert all(len(part) == 1 or sum(len(t.encode()) for t in part) <= quality.BATCH <= 400_000 for _, part, _ in parts)
+    calls, send = [], quality.sent
+    monkeypatch.setattr(quality, "sent", lambda *a: calls.append(1) or send(*a))
+    quality.keep_good(docs.limit(200)).count()
+    assert len(calls) == 1
