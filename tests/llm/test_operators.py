@@ -584,3 +584,14 @@ def test_quality_holds_few_bytes_as_strings_and_sends_the_model_once(docs, monke
     monkeypatch.setattr(quality, "sent", lambda *a: calls.append(1) or send(*a))
     quality.keep_good(docs.limit(200)).count()
     assert len(calls) == 1
+
+
+def test_fuzzy_keys_that_agree_in_their_leading_bits_only_are_no_region(spark):
+    from sievework.llm.regions import once
+
+    classes = fuzzy_lines.lines(spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "one two three four five six seven eight ten")], "doc_id long, text string")).select("id", "chars", "blocks", "counts", "short", "rest")
+    every = fuzzy_lines._members(classes)
+    leading = every.selectExpr(f"shiftright(region, {fuzzy_lines.SPARE}) AS leading").distinct()
+    assert sorted(map(tuple, fuzzy_lines._members(classes, leading).collect())) == sorted(map(tuple, every.collect()))
+    several = every.groupBy("region").count().where("count > 1")
+    assert once(every).count() == once(every.join(several, "region").drop("count")).count()
