@@ -102,6 +102,13 @@ def test_listed_tags_leave_a_task_as_one_row_for_each_tag(spark):
     assert "user_id" not in [x.split("#")[0] for line in plan(features.top_listed_tags(once)).splitlines() if "hashpartitioning" in line for x in line.replace("(", " ").replace(",", " ").split()]
 
 
+def test_timed_pairs_have_the_time_of_their_latest_line(spark):
+    sf = "/root/testdata/sf0.001"
+    inter, found = D.interactions(spark, sf), D.pairs(spark, sf, SPARSE, timed=True)
+    assert rows(found) == rows(inter.select("user_id", "item_id", SPARSE.label(F.col("ts")), "ts"))
+    assert "Window" not in plan(found)
+
+
 def test_pairs_have_the_split_of_their_latest_line_and_sort_no_lines(spark):
     sf = "/root/testdata/sf0.001"
     for splits in (MAIN, SPARSE):
