@@ -168,3 +168,19 @@ def test_best_partitions_a_users_scores_once(small, monkeypatch, wide):
     want = {(100 + a, 3 * int(order[a, p]), masked[a, order[a, p]]) for a in range(23) for p in range(4)}
     assert set(zip(*(got[c].to_pylist() for c in ("user_id", "item_id", "score")), strict=True)) == want
     assert wide != 8 or 23 <= sum(taken) < 3 * 23
+
+
+def test_one_block_of_columns_gives_ranks_without_adding_up(small):
+    *_, users, items, _, _, seen_df, truth_df = small
+    found = factors.product(users, items, truth_df, seen_df)
+    assert "Aggregate" not in found.ranks._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_arms_multiply_only_what_they_ask_for(spark, monkeypatch):
+    """A hybrid's product has the users of its own side, and a blend asks no ranks of the content product."""
+    sf, product, asked = "/root/testdata/sf0.001", factors.product, []
+    monkeypatch.setattr(factors, "product", lambda u, v, truth, seen, k: asked.append((u.count(), truth.count())) or product(u, v, truth, seen, k))
+    evaluation.hybrid_ranks(spark, sf)
+    evaluation.blend_ranks(spark, sf)
+    (hybrid, _), (everyone, none), (_, some) = asked
+    assert hybrid < everyone and none == 0 < some
